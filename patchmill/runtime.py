@@ -50,6 +50,12 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+def bounded_batches(spark: SparkSession, size: str = "32m") -> None:
+    """Lets an Arrow batch of long texts or images end at a size as well as at a number of rows, unless the session says so already."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """df as a table in the shared folder: it is computed once and outlives the loss of any executor."""
     spark = df.sparkSession
