@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchmill.runtime import bounded_batches
+
 MIN_WORDS = 8
 _WORD = np.zeros(256, bool)
 _WORD[np.frombuffer(b"0123456789_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)] = True
@@ -247,6 +249,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
 
 def _matches(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, min_words: int, block_bytes: int, shard_bytes: int, longest: bool) -> DataFrame:
     spark = docs.sparkSession
+    bounded_batches(spark)
     schema = "item_id long, item_words long, start long, length long, doc_id long" if longest else "doc_id long, item_id long, item_words long, covered_words long"
     corpus = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
     out = None

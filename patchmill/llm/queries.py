@@ -5,9 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patchmill.llm import leaks
-from patchmill.runtime import table
+from patchmill.llm import cutoffs, leaks, sketches, spans
+from patchmill.runtime import table, written
+
+
+SHARES = [0.01, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def _clean(name: str):
+    return F.lower(F.trim(name)).alias(name)
+
+
+def p3_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch of each category and day, as it would be stored to be combined later."""
+    pixels = table(spark, sf_dir, "pixel_scores").select(_clean("category"), "scored_on", "intensity", "score")
+    measures = {"intensity": "intensity", "score": F.when(F.col("score") != -1, F.col("score"))}
+    return sketches.sketch(pixels, ["category", "scored_on"], measures)
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of each category, from the sketches of its days."""
+    return sketches.percentiles(sketches.merge(p3_daily_sketches(spark, sf_dir), ["category"]), ["category"], SHARES)
+
+
+def _cutoffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    latest = cutoffs.latest_scores(table(spark, sf_dir, "image_scores"), table(spark, sf_dir, "industrial_samples"))
+    targets = table(spark, sf_dir, "keep_targets").select(_clean("category"), "label", "keep_permille")
+    scores = written(latest)
+    return scores, cutoffs.cutoffs(scores, targets, ["category", "label"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, cuts = _cutoffs(spark, sf_dir)
+    return cutoffs.kept(scores, cuts, ["category", "label"]).select("category", "label", "sample_id")
+
+
+def p4_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cutoffs(spark, sf_dir)[1]
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +59,43 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(docs.select("doc_id", "source", "n_chars"), leaks.leaked_pairs(docs, table(spark, sf_dir, "eval_items")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.Spans(table(spark, sf_dir, "documents")).pairs()
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.Spans(table(spark, sf_dir, "documents")).shares()
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.Spans(table(spark, sf_dir, "documents")).spans()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_longest, p6_clean)}
+    return {f.__name__: f for f in (p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p6_found, p6_longest, p6_clean, p8_found, p8_shared, p8_spans)}
+
+
+_P4_SQL = """
+    WITH last AS (
+        SELECT sample_id, arg_max(score, {'s': scored_at, 'a': arrived_at, 'v': score}) AS score FROM image_scores
+        WHERE sample_id IS NOT NULL AND isfinite(score) GROUP BY 1
+    ), known AS (
+        SELECT sample_id, s.c AS category, s.l AS label FROM (
+            SELECT sample_id, max({'a': arrived_at, 'c': lower(trim(category)), 'l': label}) AS s FROM industrial_samples GROUP BY 1)
+    ), scored AS (
+        SELECT k.category, k.label, sample_id, score, keep_permille FROM last JOIN known k USING (sample_id)
+        JOIN keep_targets t ON t.category = k.category AND t.label = k.label
+    ), ranked AS (
+        SELECT *, count(*) OVER (PARTITION BY category, label) AS n,
+               count(*) OVER (PARTITION BY category, label ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS above FROM scored
+    ), cut AS (
+        SELECT category, label, keep_permille, n, max(score) FILTER (above * 1000 >= keep_permille * n) AS cutoff FROM ranked GROUP BY ALL
+    )
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": _P4_SQL + "SELECT s.category, s.label, s.sample_id FROM scored s JOIN cut USING (category, label) WHERE score >= cutoff",
+        "p4_cutoffs": _P4_SQL + "SELECT category, label, c.keep_permille, c.n, c.cutoff, count(*) AS n_kept FROM scored s JOIN cut c USING (category, label) WHERE score >= cutoff GROUP BY ALL",
+    }
