@@ -76,8 +76,9 @@ class _Source:
             self.hi, self.hi_below, self.hi_sum, self.best_below_hi = c, below, total, most_below
 
 
-def cutoffs(scores: DataFrame, targets: DataFrame, keys: list[str], *, score: str = "score", permille: str = "keep_permille") -> DataFrame:
-    """keys and permille, n, cutoff, n_kept: per source the highest score that keeps at least permille/1000 of it.
+def cutoffs(scores: DataFrame, targets: DataFrame, keys: list[str], *, score: str = "score", permille: str = "keep_permille", count: str | None = None) -> DataFrame:
+    """keys and permille, n, cutoff, n_kept: per source the highest score that keeps at least permille/1000 of it, or,
+    where targets has its column count, at least that many scores.
 
     The source is the tuple of keys; sources without a target, or whose target is null or has no finite score, give no
     row. A source named twice in targets takes its highest share. Null, NaN and infinite scores do not count; shares of
@@ -85,7 +86,8 @@ def cutoffs(scores: DataFrame, targets: DataFrame, keys: list[str], *, score: st
     Each row of scores counts once: remove repeated rows before. There may be up to MAX_SOURCES sources, of any size.
     """
     spark = scores.sparkSession
-    named = targets.where(F.col(permille).isNotNull()).groupBy(*keys).agg(F.max(permille).cast("int").alias("_permille"))
+    permille, whole = (permille, 1000) if count is None else (count, 0)
+    named = targets.where(F.col(permille).isNotNull()).groupBy(*keys).agg(F.max(permille).cast("long").alias("_permille"))
     usable = scores.select(*keys, (F.col(score).cast("double") + 0.0).alias("_score")).where("_score is not null and not isnan(_score) and abs(_score) < double('infinity')")
     rows = written(usable.join(named, keys, "left_semi"))
     start = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_score").alias("low"), F.max("_score").alias("high"), F.sum("_score").alias("total")).join(named, keys)
@@ -94,7 +96,7 @@ def cutoffs(scores: DataFrame, targets: DataFrame, keys: list[str], *, score: st
     if len(head) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     for r in head:
-        bracket[tuple(r[k] for k in keys)] = _Source(r, min(r.n, max(1, -(-r["_permille"] * r.n // 1000))))
+        bracket[tuple(r[k] for k in keys)] = _Source(r, min(r.n, max(1, -(-r["_permille"] * r.n // whole) if whole else r["_permille"])))
     schema = T.StructType([scores.schema[k] for k in keys])
     asked = T.StructType([*schema.fields, T.StructField("_cuts", T.ArrayType(T.DoubleType()))])
     while open_ := {k: s.trials() for k, s in bracket.items() if not s.done}:
@@ -106,7 +108,7 @@ def cutoffs(scores: DataFrame, targets: DataFrame, keys: list[str], *, score: st
             bracket[tuple(r[k] for k in keys)].learn(r["_cut"], r.below, r.total, r.above, r.under)
     result = T.StructType([*schema.fields, T.StructField("n", T.LongType()), T.StructField("cutoff", T.DoubleType()), T.StructField("n_kept", T.LongType())])
     found = spark.createDataFrame([(*k, s.n, s.lo, s.n - s.lo_below) for k, s in bracket.items()], result)
-    return found.join(named, keys).select(*keys, F.col("_permille").alias(permille), "n", "cutoff", "n_kept")
+    return found.join(named, keys).select(*keys, F.col("_permille").cast(targets.schema[permille].dataType).alias(permille), "n", "cutoff", "n_kept")
 
 
 def kept(scores: DataFrame, cuts: DataFrame, keys: list[str], *, score: str = "score") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchmill.llm import cutoffs, leaks, sketches, spans
+from patchmill.llm import cutoffs, leaks, sketches, spans, splits, subsets, vectors
 from patchmill.runtime import table, written
 
 
@@ -18,6 +18,33 @@ def _clean(name: str):
     return F.lower(F.trim(name)).alias(name)
 
 
+COLLECTION = ["category", "layer"]
+
+
+def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "prototype_embeddings").select(_clean("category"), "layer", "proto_id", "embedding")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.similar(_bank(spark, sf_dir), COLLECTION, vec_id="proto_id", vector="embedding", dim=32, k=5, max_distance=0.8)
+    return vectors.similar_pairs(near, COLLECTION).select(F.col("id_a").alias("proto_id_a"), F.col("id_b").alias("proto_id_b"))
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every vector whose id is divisible by 100, however far, against all vectors."""
+    return vectors.similar(_bank(spark, sf_dir), COLLECTION, vec_id="proto_id", vector="embedding", dim=32, k=5, cells=256, queries=lambda i: i % 100 == 0)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = splits.Overlaps(table(spark, sf_dir, "industrial_samples")).pairs()
+    return pairs.select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "industrial_samples")
+    return splits.counts(splits.Overlaps(samples).records(), samples)
+
+
 def p3_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sketch of each category and day, as it would be stored to be combined later."""
     pixels = table(spark, sf_dir, "pixel_scores").select(_clean("category"), "scored_on", "intensity", "score")
@@ -46,6 +73,11 @@ def p4_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cutoffs(spark, sf_dir)[1]
 
 
+def p5_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "subset_targets").select(_clean("category"), "layer", "subset_permille")
+    return subsets.varied_subset(_bank(spark, sf_dir), targets, COLLECTION, vec_id="proto_id", vector="embedding", dim=32)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -72,7 +104,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p6_found, p6_longest, p6_clean, p8_found, p8_shared, p8_spans)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p5_subset, p6_found, p6_longest, p6_clean, p8_found, p8_shared, p8_spans)}
 
 
 _P4_SQL = """
