@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchmill.llm import cutoffs, leaks, sketches, spans, splits, subsets, vectors
+from patchmill.llm import cutoffs, leaks, mixing, sketches, spans, splits, subsets, vectors
 from patchmill.runtime import table, written
 
 
@@ -91,6 +92,28 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(docs.select("doc_id", "source", "n_chars"), leaks.leaked_pairs(docs, table(spark, sf_dir, "eval_items")))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    tokenizer = mixing.RankTokenizer(os.environ.get("PATCHMILL_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken"))
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tokenizer)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: a row for each slot of the output, with the pieces of records in its block."""
+    return _mix(spark, sf_dir).mixed()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
+def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).record_uses()
+
+
+def p7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).token_blocks()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents")).pairs()
 
@@ -104,7 +127,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p5_subset, p6_found, p6_longest, p6_clean, p8_found, p8_shared, p8_spans)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p5_subset, p6_found, p6_longest, p6_clean, p7_mix, p7_shares, p7_records, p7_tokens, p8_found, p8_shared, p8_spans)}
 
 
 _P4_SQL = """
