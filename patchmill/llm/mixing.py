@@ -2,12 +2,12 @@
 
 1. The records' tokens are counted with a public tokenizer and laid end to end, per source, in an order by hash. Each
    source's stream is cut into blocks of `block` tokens (the last one is shorter); a block is a list of pieces of records.
-2. The mix has as many slots as the scarcest source allows: no source may be asked for more than max_repeats times its
-   blocks, with four deviations to spare. The slots lie in output shards, and each shard draws its sources' counts from
-   the multinomial of the target shares.
+2. The mix has as many slots as the scarcest source allows: share * slots is at most max_repeats times its blocks. The
+   slots lie in output shards, and each shard draws its sources' counts from the multinomial of the target shares.
 3. The slots of a source are numbered across all shards. Slot u of a source with N blocks is use u div N, and a
    pseudorandom permutation of 0..N-1, another one for each use, turns u mod N into a block. So no block is used twice
-   before all are used once, and none more than max_repeats times.
+   before all are used once. Where chance drew a source more often than max_repeats allows, the slots beyond go, in
+   order, to the sources that have room, by their shares: every slot is filled and no limit is passed.
 4. Slots and blocks are joined by source and block number.
 
 Numbers across the rows of a source come from sums over buckets and then within each bucket, so no task handles a whole
@@ -17,7 +17,6 @@ source. Everything follows from the seed; a lost task that runs again gives the
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +32,6 @@ BUCKET = 50_000
 #: How texts are split before the merges of a byte-level rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_SOURCES = 10_000
-SPARE = 4.0
 
 
 _loaded: dict = {}  # encoders of this process
@@ -125,15 +123,19 @@ class Mix:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         total = sum(r.p for r in plan)
         self.plan = [(r.s, r.p / total, r.r, -(-r.tokens // block), r.records) for r in plan]
-        self.slots = int(min((self._most(p, r * n) for _, p, r, n, _ in self.plan), default=0))
+        self.slots = int(min((r * n / p for _, p, r, n, _ in self.plan), default=0))
 
     @staticmethod
-    def _most(p: float, cap: int) -> float:
-        """The number of slots of which a source of share p gets cap, and SPARE deviations less."""
-        if p >= 1:
-            return cap
-        b = SPARE * math.sqrt(p * (1 - p))
-        return max(0.0, (math.sqrt(b * b + 4 * p * cap) - b) / (2 * p)) ** 2
+    def _give(over: int, room: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """over slots dealt to the sources with room, by their shares."""
+        given = np.zeros(len(room), np.int64)
+        while over:
+            open_ = np.flatnonzero(room > given)
+            part = np.minimum(np.ceil(over * p[open_] / p[open_].sum()).astype(np.int64), (room - given)[open_])
+            part = np.diff(np.minimum(np.cumsum(np.concatenate([[0], part])), over))
+            given[open_] += part
+            over -= int(part.sum())
+        return given
 
     def pieces(self) -> DataFrame:
         """(source, block, doc_id, first, last): tokens first to last - 1 of a record are in the block, in order of place."""
@@ -173,19 +175,28 @@ class Mix:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), shard)), pa.array(np.arange(len(p))), pa.array(count.astype(np.int64)), pa.array([np.sort(x) for x in places], pa.list_(pa.int32()))], names=["shard", "i", "n", "places"])
 
         drawn = self.spark.range(0, -(-slots // size)).mapInArrow(draw, "shard long, i long, n long, places array<int>").withColumn("bucket", F.floor(F.col("shard") / 4096))
+        count = np.zeros(len(p), np.int64)
+        for r in drawn.groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each source
+            count[r.i] = r.n
+        cap = limit * blocks
+        over = np.maximum(count - cap, 0)
+        over_at = np.concatenate([[0], np.cumsum(over)])
+        given_at = np.concatenate([[0], np.cumsum(self._give(int(over.sum()), np.maximum(cap - count, 0), p))])
         first = _running(drawn, "i", "bucket", ["shard"], "n", "first")
         each = first.select("shard", "i", "first", F.posexplode("places").alias("j", "slot")).select("shard", "slot", "i", (F.col("first") + F.col("j")).alias("u"))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                i, u = (batch.column(c).to_numpy() for c in (2, 3))
+                i, u = (batch.column(c).to_numpy().copy() for c in (2, 3))
+                far = np.flatnonzero(u >= cap[i])
+                o = over_at[i[far]] + u[far] - cap[i[far]]
+                i[far] = np.searchsorted(given_at, o, side="right") - 1
+                u[far] = count[i[far]] + o - given_at[i[far]]
                 use, at = u // blocks[i], u % blocks[i]
                 for s, e in np.unique(np.stack([i, use]), axis=1).T if len(i) else ():
                     mine = np.flatnonzero((i == s) & (use == e))
                     at[mine] = permute(at[mine], int(blocks[s]), seed * 1_000_003 + int(s) * 1009 + int(e))
-                keep = np.flatnonzero(use < limit[i])  # a draw beyond the spare room is left out, so the limit holds
-                take = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([names[k] for k in i[keep]], pa.string()), pa.array(at[keep]), pa.array(use[keep])], names=["shard", "slot", "source", "block", "use"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([names[k] for k in i], pa.string()), pa.array(at), pa.array(use)], names=["shard", "slot", "source", "block", "use"])
 
         return each.mapInArrow(place, schema)
 

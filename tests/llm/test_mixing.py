@@ -66,11 +66,23 @@ def test_dirt(spark):
     got = {r.source: r for r in m.shares().collect()}
     assert got["a_b"].n_tokens == 5000 and got["a_b"].used_tokens == 10000 and got["a_b"].most_uses == 2 and got["a_b"].share == 1.0
     assert got["gone"].used_tokens == 0 and got["gone"].share == 0.0
+    assert m.slots == 100 and m.mixed().count() == 100
     for docs_, targets in (([], TARGETS), (corpus(), []), (docs, [("other", 1.0, 1, 0), ("a_b", 1e-9, 1, 0)])):
         e = mix(spark, docs_, targets)
         assert e.mixed().count() == e.slots <= 1 and e.shares().count() == (3 if targets is TARGETS else len(targets))
 
 
+def test_slots_beyond_a_limit_go_elsewhere(spark):
+    docs = [(i, ["a", "b", "c"][i % 3], "x" * 10, 0, 0) for i in range(900)]
+    for seed in range(4):
+        m = mix(spark, docs, [("a", 0.4, 1, 0), ("b", 0.3, 1, 0), ("c", 0.3, 1, 0)], block=10, shard=50, seed=seed)
+        got = m.assignments().collect()
+        n = Counter(r.source for r in got)
+        assert m.slots == len(got) == 750 and max(n.values()) <= 300 and min(n.values()) > 150
+        assert len({(r.source, r.block) for r in got}) == 750 and {r.use for r in got} == {0}
+    assert mixing.Mix._give(7, np.array([0, 3, 100]), np.array([0.5, 0.4, 0.1])).tolist() == [0, 3, 4]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1000])
 def test_permutations(n):
     seen = [tuple(mixing.permute(np.arange(n), n, seed)) for seed in range(5)]
