@@ -48,7 +48,7 @@ SQL: dict[str, str] = {
     "knn_top1_score": f"WITH {_BANK} SELECT vec_id, bid AS neighbour, round(dist / 64, 9) AS score FROM r WHERE rank = 1",
     "knn_topk_mean": f"WITH {_BANK} SELECT vec_id, round(avg(dist) / 64, 9) AS score FROM r WHERE rank <= 5 GROUP BY 1",
     "knn_normalized": """
-        WITH v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], x -> x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
+        WITH v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
         d AS (SELECT q.vec_id, b.vec_id AS neighbour, list_distance(q.e, b.e) AS dist FROM v q JOIN v b ON b.label <= 6 AND b.vec_id % 8 <> 0 WHERE NOT (q.label <= 6 AND q.vec_id % 8 <> 0)),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour)::INT AS rank FROM d)
         SELECT vec_id, neighbour, rank, round(dist, 7) AS distance FROM r WHERE rank <= 3""",
@@ -58,7 +58,7 @@ SQL: dict[str, str] = {
         SELECT label, vec_id, rank, round(dist, 9) AS distance FROM r WHERE rank <= 3""",
     "layer_scores": """
         WITH v AS (SELECT DISTINCT ON (proto_id) proto_id, lower(trim(category)) AS category, layer, sample_id, embedding::DOUBLE[] AS e FROM prototype_embeddings
-                   WHERE len(embedding) = 32 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 32 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+                   WHERE len(embedding) = 32 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 32 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         h AS (SELECT *, (dense_rank() OVER (PARTITION BY category ORDER BY sample_id) - 1) % 8 = 0 AS held FROM v)
         SELECT q.category, q.layer, q.proto_id, round(min(list_distance(q.e, b.e)) / 32, 6) AS score FROM h q JOIN h b ON q.category = b.category AND q.layer = b.layer
         WHERE q.held AND NOT b.held GROUP BY ALL""",
@@ -112,7 +112,7 @@ SQL: dict[str, str] = {
         counted AS (SELECT r.j, count(vec_id) AS k FROM r LEFT JOIN kept USING (j) GROUP BY 1)
         SELECT vec_id FROM kept WHERE j = (SELECT min(j) FROM counted WHERE k <= 100)""",
     "density_subsample_filled": """
-        WITH v AS (SELECT DISTINCT lower(trim(category)) AS category, layer, proto_id FROM prototype_embeddings WHERE len(embedding) = 32 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 32)
+        WITH v AS (SELECT DISTINCT lower(trim(category)) AS category, layer, proto_id FROM prototype_embeddings WHERE len(embedding) = 32 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 32)
         SELECT category, layer, least(count(*), 40) AS n FROM v GROUP BY ALL""",
     "tile_plan": """
         WITH s AS (SELECT DISTINCT p_size * 48 + 560 AS size FROM part), d AS (SELECT size, size // 16 AS d FROM s WHERE size >= 640),
@@ -124,8 +124,8 @@ SQL: dict[str, str] = {
         SELECT size, tile, n_tiles, start, start + 40 AS stop, keep_from::BIGINT AS keep_from, keep_to::BIGINT AS keep_to, start + keep_from AS out_from, start + keep_to AS out_to FROM k""",
     "tile_cut_stitch": f"WITH {_MAPS} SELECT vec_id, y, x, round(score * 2, 7) AS score FROM m",
     "bilinear_resize": f"""
-        WITH {_MAPS}, a AS (SELECT 16 AS n, o, greatest(0, (o + 0.5::DOUBLE) * 8 / 16 - 0.5) AS at FROM range(16) t(o) UNION ALL SELECT 12, o, greatest(0, (o + 0.5::DOUBLE) * 8 / 12 - 0.5) FROM range(12) t(o)),
-        b AS (SELECT n, o, least(floor(at)::INT, 7) AS low, at - least(floor(at)::INT, 7) AS f FROM a),
+        WITH {_MAPS}, a AS (SELECT 16 AS n, o, greatest(0, (o + 0.5::DOUBLE) * 8 / 16 - 0.5) AS centre FROM range(16) t(o) UNION ALL SELECT 12, o, greatest(0, (o + 0.5::DOUBLE) * 8 / 12 - 0.5) FROM range(12) t(o)),
+        b AS (SELECT n, o, least(floor(centre)::INT, 7) AS low, centre - least(floor(centre)::INT, 7) AS f FROM a),
         w AS (SELECT n, o, low AS i, 1 - f AS w FROM b UNION ALL SELECT n, o, least(low + 1, 7), f FROM b)
         SELECT vec_id, wy.o::INT AS y, wx.o::INT AS x, round(sum(score * wy.w * wx.w), 7) AS score FROM m JOIN w wy ON wy.n = 16 AND wy.i = y JOIN w wx ON wx.n = 12 AND wx.i = x GROUP BY ALL""",
     "layer_mean": f"WITH {_MAPS} SELECT vec_id, y % 4 AS y, x, round(avg(score), 7) AS score FROM m GROUP BY ALL",
@@ -152,7 +152,7 @@ SQL: dict[str, str] = {
         SELECT vec_id, p::INT AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 7) AS value FROM e""",
     "name_validation": f'WITH {_SAMPLES} SELECT sample_id, name, "index", suffix FROM parsed',
     "index_coverage": f"""
-        WITH {_SAMPLES}, w AS (SELECT category, split, count(DISTINCT "index") + length(category) % 4 AS expected FROM parsed GROUP BY ALL),
+        WITH {_SAMPLES}, w AS (SELECT category, split, count(DISTINCT "index") + length(category) % 4 AS expected FROM parsed GROUP BY category, split),
         want AS (SELECT category, split, unnest(range(expected)) AS i FROM w), have AS (SELECT DISTINCT category, split, "index" AS i FROM parsed WHERE "index" IS NOT NULL),
         lack AS (SELECT * FROM want EXCEPT SELECT * FROM have), more AS (SELECT * FROM have EXCEPT SELECT * FROM want),
         u AS (SELECT *, true AS lacking FROM lack UNION ALL SELECT *, false FROM more),

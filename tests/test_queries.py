@@ -22,7 +22,8 @@ def same(spark_df, frame):
     a = spark_df.toPandas()
     assert sorted(a.columns) == sorted(frame.columns)
     cols = sorted(a.columns)
-    rows = lambda d: sorted(map(repr, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))
+    plain = lambda v: None if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else repr(v)
+    rows = lambda d: sorted(str(tuple(map(plain, r))) for r in d[cols].astype(object).itertuples(index=False, name=None))
     a, b = rows(a), rows(frame)
     assert len(a) == len(b)
     assert a == b
