@@ -30,6 +30,8 @@ from patchmill.runtime import bounded_batches, written
 
 LEAST = 400
 SEGMENT = 1 << 18
+#: Windows that more texts than this hold are looked at more closely before their texts are paired.
+HOT = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,6 +188,11 @@ def shared(a: np.ndarray, b: np.ndarray, ha: np.ndarray, hb: np.ndarray, least:
     return {*repeats(a, b, ha, hb, least, block), *((i, j, n) for j, i, n in repeats(b, a, hb, ha, least, block))}
 
 
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    """(a, b), a < b, of the texts d with an equal key, once."""
+    return rows.select(key, F.col("d").alias("a")).join(rows.select(key, F.col("d").alias("b")), key).where("a < b").select("a", "b").distinct()
+
+
 class Spans:
     """The search over one table. Its parts are written to the shared folder once and used by all results."""
 
@@ -204,13 +211,44 @@ class Spans:
         self.classes = ids.join(reps.where("rep < last"), ["x", "y", "n"]).select("d", "rep").distinct()
 
     def _candidates(self) -> DataFrame:
-        """(a, b): pairs of representatives, a < b, that keep an equal window."""
+        """(a, b): pairs of representatives, a < b, that may share a span."""
         copies = self.classes.where("d <> rep").select("d")
         own = self.prints.select("d", "k").dropDuplicates(["d"]).join(copies, "d", "left_anti")
         each = own.select("d", F.explode("k").alias("k"))
-        two = each.groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("k")
+        two = each.groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).where("a < b").select("k", "n")
         at = written(each.join(two, "k"))
-        return at.select("k", F.col("d").alias("a")).join(at.select("k", F.col("d").alias("b")), "k").where("a < b").select("a", "b").distinct()
+        mild = at.where(F.col("n") <= HOT)
+        pairs = _pairs(mild.select("k", "d"), "k")
+        hot = at.where(F.col("n") > HOT).groupBy("d").agg(F.collect_list("k").alias("ks"))
+        return pairs if hot.isEmpty() else pairs.unionByName(self._hot_candidates(hot)).distinct()
+
+    def _hot_candidates(self, hot: DataFrame) -> DataFrame:
+        """Pairs among texts that hold a window (in ks) which very many others hold, too.
+
+        A run under least characters that stands in very many texts, such as a notice, would name all their pairs for
+        nothing. So around such windows every run of exactly least characters is hashed; only texts with an equal one are
+        paired. Runs that the same texts share are taken once.
+        """
+        least, block = self.least, self.block
+        rows = self.texts.join(hot, "d").where(F.length("t") >= least).dropDuplicates(["d"]).select("d", "t", "ks")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            short, long = Roller(block, least), Roller(least, least)
+            for batch in batches:
+                for d, t, ks in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist()):
+                    codes = _codes(t)
+                    at = np.flatnonzero(np.isin(short.all_windows(codes), np.array(ks, np.int64).view(np.uint64)))
+                    whole = long.all_windows(codes)
+                    edge = np.zeros(len(whole) + 1, np.int64)  # runs that begin up to least - block before a window
+                    np.add.at(edge, np.clip(at - (least - block), 0, len(whole)), 1)
+                    np.add.at(edge, np.minimum(at + 1, len(whole)), -1)
+                    h = np.unique(whole[np.cumsum(edge)[:-1] > 0]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d, np.int64)), pa.array(h)], names=["d", "h"])
+
+        runs = written(rows.mapInArrow(run, "d long, h long"))
+        group = runs.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("d")).alias("s1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("s2")).where("n > 1")
+        one = group.groupBy("n", "s1", "s2").agg(F.min("h").alias("h")).select("h")
+        return _pairs(runs.join(one, "h"), "h")
 
     def spans(self) -> DataFrame:
         """(doc_id_a, start_a, doc_id_b, start_b, length): the maximal exact repeats between representatives."""

@@ -66,6 +66,19 @@ def test_texts_that_repeat_within_themselves(spark):
     assert shared[2] in (1800, 1801) and shared[4] == 1350 and shared[6] == 430 and shared[5] == 5000 and shared[3] == 6000
 
 
+def test_short_notice_in_very_many_texts(spark, monkeypatch):
+    """A run of 399 characters in all texts names no pair; longer ones inside the crowd are still found."""
+    notice, longer = text(20, 399), text(21, 30)
+    rows = [(i, text(100 + i, 50 + i) + chr(20000 + i) + notice + chr(30000 + i) + text(900 + i, 80)) for i in range(90)]
+    rows += [(1000 + i, text(2000 + i, 40) + chr(22000 + i) + notice + longer + chr(32000 + i)) for i in range(5)]
+    named = []
+    paired = spans._pairs
+    monkeypatch.setattr(spans, "_pairs", lambda df, key: (named.append(paired(df, key)), named[-1])[1])
+    want = {(1000 + i, 1000 + j) for i in range(5) for j in range(i + 1, 5)}
+    assert pairs(frame(spark, rows)) == want == slow_pairs(rows, 400)
+    assert sum(d.count() for d in named) < 90 * 89 / 2 / 4  # windows at the notice's ends are rarer and name some
+
+
 def test_long_text_in_segments(spark):
     big = text(8, 3 * spans.SEGMENT + 17)
     for at in (spans.SEGMENT - 200, spans.SEGMENT - 399, spans.SEGMENT - 1, 2 * spans.SEGMENT - 798):
