@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every vector whose id is divisible by 100, however far, against all vectors."""
-    return vectors.similar(_bank(spark, sf_dir), COLLECTION, vec_id="proto_id", vector="embedding", dim=32, k=5, cells=256, queries=lambda i: i % 100 == 0)
+    return vectors.similar(_bank(spark, sf_dir), COLLECTION, vec_id="proto_id", vector="embedding", dim=32, k=5, queries=lambda i: i % 100 == 0)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_a_third_of_the_rows_are_one_vector(spark):
 def test_recall_on_the_bank(spark):
     """Plain nearest neighbours, without a radius, with the parameters of p1_neighbours."""
     bank = spark.read.parquet("/root/testdata/sf0.1/prototype_embeddings.parquet").where("category = 'can' and layer = 23").select("layer", "proto_id", "embedding").where(vectors.usable("embedding", 32)).dropDuplicates(["proto_id"])
-    got = vectors.similar(bank, ["layer"], vec_id="proto_id", vector="embedding", dim=32, k=5, cells=64).groupBy("id").agg(F.collect_set("neighbour").alias("n"))
+    got = vectors.similar(bank, ["layer"], vec_id="proto_id", vector="embedding", dim=32, k=5).groupBy("id").agg(F.collect_set("neighbour").alias("n"))
     got = {r.id: set(r.n) for r in got.collect()}
     pdf = bank.toPandas()
     x, ids = np.stack(pdf.embedding).astype(float), pdf.proto_id.to_numpy()
