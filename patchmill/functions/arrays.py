@@ -29,7 +29,7 @@ def brightness_factor(key: Column | str, low: float, high: float, seed: int = 0)
     return F.lit(low) + uniform(key, seed) * (high - low)
 
 
-def channel_normalize(pixels: Column | str, plane: int, mode: str | None = "imagenet") -> Column:
+def channel_normalize(pixels: Column | str, plane: Column | int, mode: str | None = "imagenet") -> Column:
     """(x - mean) / std by channel of a planar 3-channel array, plane values a channel; mode None changes nothing."""
     if mode is None:
         return F.col(pixels) if isinstance(pixels, str) else pixels

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 from dataclasses import asdict, dataclass, field, fields
@@ -86,3 +87,13 @@ class Settings:
         if create:
             os.makedirs(path, exist_ok=True)
         return os.path.abspath(path)
+
+    def weights(self, name: str | None = None) -> str:
+        """The first file in the weights folder whose name begins with the backbone's."""
+        found = sorted(glob.glob(os.path.join(self.folder("dino_weights_dir", create=False), f"{name or self.backbone}*")))
+        if not found:
+            raise FileNotFoundError(f"no weights of {name or self.backbone}")
+        return found[0]
+
+    def scores_csv(self, split: str) -> str:
+        return os.path.join(self.folder("results_dir"), f"scores_{split}.csv")

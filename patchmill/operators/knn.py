@@ -25,6 +25,11 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
+def query_block(bank_rows: int, explicit: int | None = None) -> int:
+    """How many queries meet the bank at once: as many as keep the distances within about 32 MB, or what is asked for."""
+    return explicit or max(1, (1 << 22) // max(1, bank_rows))
+
+
 def nearest(queries: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(distances, ids), each queries x k, in order of distance and then id; ids must ascend.
 
@@ -94,7 +99,7 @@ def _scan(held, keys: list[str], more: int, normalize: bool, exclude_self: bool,
                 if key not in held.value:
                     continue
                 bank, ids = held.value[key]
-                step = max(1, (1 << 22) // len(bank))
+                step = query_block(len(bank))
                 for at in range(0, len(mine), step):
                     part = batch.take(pa.array(mine[at : at + step]))
                     x = _matrix(part.column(width + 1))
@@ -135,7 +140,7 @@ def _block_join(q: DataFrame, b: DataFrame, query_id: str, keys: list[str], k: i
             x, y = _unit(x), _unit(y)
         head = [left.column(c).combine_chunks() for c in [*keys, query_id]]
         ids = right.column("_b").to_numpy()
-        out, step = [], max(1, (1 << 22) // len(y))
+        out, step = [], query_block(len(y))
         for at in range(0, len(x), step):
             out.append(_answer([h.slice(at, step) for h in head], x[at : at + step], y, ids, more, exclude_self, k, arrow))
         return pa.Table.from_batches(out, schema=arrow)

@@ -15,7 +15,7 @@ from patchmill.runtime import bounded_batches
 IMAGE = "image_path string, height int, width int, pixels array<float>"
 
 
-def read_images(spark: SparkSession, folder: str, size: tuple[int, int] | None = None) -> DataFrame:
+def read_images(spark: SparkSession, folder: str | list[str], size: tuple[int, int] | None = None) -> DataFrame:
     """(image_path, height, width, pixels): RGB in [0, 1], channel by channel.
 
     The built-in source decodes with the channels blue first; grey images give three equal channels. Files that are no
