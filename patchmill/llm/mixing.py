@@ -210,8 +210,8 @@ class Mix:
         Every target has a row; one without tokens or room reached 0."""
         blocks = self.pieces().groupBy("source", "block").agg(F.sum(F.col("last") - F.col("first")).alias("n"))
         used = self.assignments().join(blocks, ["source", "block"]).groupBy("source").agg(F.sum("n").alias("used"), (F.max("use") + 1).alias("most"))
-        all_ = used.agg(F.sum("used").alias("all"))
-        rows = self.aim.withColumnRenamed("s", "source").join(self.have.withColumnRenamed("s", "source"), "source", "left").join(used, "source", "left").join(F.broadcast(all_))  # one row
+        used = used.withColumn("all", F.sum("used").over(Window.partitionBy(F.lit(0))))  # at most MAX_SOURCES rows
+        rows = self.aim.withColumnRenamed("s", "source").join(self.have.withColumnRenamed("s", "source"), "source", "left").join(used, "source", "left")
         zero = F.lit(0).cast("long")
         return rows.select("source", F.col("p").alias("target_share"), F.col("r").alias("max_repeats"), F.coalesce("records", zero).alias("n_records"), F.coalesce("tokens", zero).alias("n_tokens"), F.coalesce("used", zero).alias("used_tokens"), F.coalesce(F.col("used") / F.col("all"), F.lit(0.0)).alias("share"), F.coalesce("most", zero).alias("most_uses"))
 

@@ -149,8 +149,35 @@ _P4_SQL = """
 """
 
 
+_P1_SQL = """
+    WITH v AS (SELECT DISTINCT ON (c, layer, proto_id) lower(trim(category)) AS c, layer, proto_id, embedding::DOUBLE[] AS e FROM prototype_embeddings
+               WHERE len(embedding) = 32 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 32 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    d AS (SELECT a.proto_id AS a, b.proto_id AS b, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.c = b.c AND a.layer = b.layer AND a.proto_id <> b.proto_id),
+    r AS (SELECT a, b FROM d WHERE d <= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
+    SELECT DISTINCT least(a, b) AS proto_id_a, greatest(a, b) AS proto_id_b FROM r
+"""
+_P6_SQL = r"""
+    WITH i AS (SELECT item_id, list_transform(regexp_extract_all(regexp_replace(text, '\\+.?', ' ', 'gs'), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+    ig AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p : p + 7], ' ') AS g FROM i, unnest(range(1, len(w) - 6)) t(p)),
+    d AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '\\+.?', ' ', 'gs'), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+    dg AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) t(p)),
+    hit AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(p, p + 8)) AS word FROM dg JOIN ig USING (g))
+    SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, n HAVING 2 * count(*) >= n
+"""
+_P8_SQL = """
+    WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 400),
+    h AS (SELECT DISTINCT doc_id, md5_number(substring(text, i::INT, 400)) AS h FROM t, unnest(range(1, n - 398)) u(i)),
+    s AS (SELECT h FROM h GROUP BY 1 HAVING count(*) > 1), m AS (SELECT h, list(doc_id ORDER BY doc_id) AS ids FROM h SEMI JOIN s USING (h) GROUP BY 1),
+    g AS (SELECT DISTINCT ids FROM m)
+    SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM g, unnest(ids) x(a), unnest(ids) y(b) WHERE a < b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1_SQL,
+        "p6_found": _P6_SQL,
+        "p8_found": _P8_SQL,
         "p4_found": _P4_SQL + "SELECT s.category, s.label, s.sample_id FROM scored s JOIN cut USING (category, label) WHERE score >= cutoff",
         "p4_cutoffs": _P4_SQL + "SELECT category, label, c.keep_permille, c.n, c.cutoff, count(*) AS n_kept FROM scored s JOIN cut c USING (category, label) WHERE score >= cutoff GROUP BY ALL",
     }
