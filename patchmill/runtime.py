@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list = []
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,24 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="patchmill-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="patchmill-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return _own[0]
 
 
 def _forget() -> None:
-    """Deletes the tables that written() left, as far as their session still lives."""
+    """Deletes the tables that written() left: through their session while it lives, else those in a folder of this machine."""
     while _written:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the folder's owner cleans up
-            pass
+        except Exception:  # the session has ended
+            shutil.rmtree(path.removeprefix("file://"), True)
 
 
 atexit.register(_forget)
