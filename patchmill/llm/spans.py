@@ -204,30 +204,30 @@ class Spans:
             raise ValueError("least must be 2 or more")
         bounded_batches(docs.sparkSession)
         self.least, self.block = least, block or least // 2
+        self._found: tuple | None = None
         self.texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
         self.prints = written(_fingerprints(docs, doc_id, text, least, self.block))
         ids = self.prints.select("d", "x", "y", "n")
         reps = ids.groupBy("x", "y", "n").agg(F.min("d").alias("rep"), F.max("d").alias("last"))
         self.classes = ids.join(reps.where("rep < last"), ["x", "y", "n"]).select("d", "rep").distinct()
 
-    def _candidates(self) -> DataFrame:
-        """(a, b): pairs of representatives, a < b, that may share a span."""
-        copies = self.classes.where("d <> rep").select("d")
-        own = self.prints.select("d", "k").dropDuplicates(["d"]).join(copies, "d", "left_anti")
-        each = own.select("d", F.explode("k").alias("k"))
-        two = each.groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).where("a < b").select("k", "n")
-        at = written(each.join(two, "k"))
-        mild = at.where(F.col("n") <= HOT)
-        pairs = _pairs(mild.select("k", "d"), "k")
-        hot = at.where(F.col("n") > HOT).groupBy("d").agg(F.collect_list("k").alias("ks"))
-        return pairs if hot.isEmpty() else pairs.unionByName(self._hot_candidates(hot)).distinct()
-
-    def _hot_candidates(self, hot: DataFrame) -> DataFrame:
-        """Pairs among texts that hold a window (in ks) which very many others hold, too.
+    def _shared_windows(self) -> tuple[DataFrame, DataFrame | None]:
+        """(a, b) pairs of representatives, a < b, that keep an equal window which at most HOT hold; and hot_runs()."""
+        if self._found is None:
+            copies = self.classes.where("d <> rep").select("d")
+            own = self.prints.select("d", "k").dropDuplicates(["d"]).join(copies, "d", "left_anti")
+            each = own.select("d", F.explode("k").alias("k"))
+            two = each.groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).where("a < b").select("k", "n")
+            at = written(each.join(two, "k"))
+            hot = at.where(F.col("n") > HOT).groupBy("d").agg(F.collect_list("k").alias("ks"))
+            self._found = written(_pairs(at.where(F.col("n") <= HOT).select("k", "d"), "k")), None if hot.isEmpty() else self._hot_runs(hot)
+        return self._found
+
+    def _hot_runs(self, hot: DataFrame) -> DataFrame:
+        """(d, h, p): hash and place of each run of least characters over a window (in ks) that very many texts hold.
 
         A run under least characters that stands in very many texts, such as a notice, would name all their pairs for
-        nothing. So around such windows every run of exactly least characters is hashed; only texts with an equal one are
-        paired. Runs that the same texts share are taken once.
+        nothing. So around such windows every run of exactly least characters is hashed: only an equal one counts.
         """
         least, block = self.least, self.block
         rows = self.texts.join(hot, "d").where(F.length("t") >= least).dropDuplicates(["d"]).select("d", "t", "ks")
@@ -242,17 +242,26 @@ class Spans:
                     edge = np.zeros(len(whole) + 1, np.int64)  # runs that begin up to least - block before a window
                     np.add.at(edge, np.clip(at - (least - block), 0, len(whole)), 1)
                     np.add.at(edge, np.minimum(at + 1, len(whole)), -1)
-                    h = np.unique(whole[np.cumsum(edge)[:-1] > 0]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d, np.int64)), pa.array(h)], names=["d", "h"])
+                    p = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), d, np.int64)), pa.array(whole[p].view(np.int64)), pa.array(p)], names=["d", "h", "p"])
+
+        return written(rows.mapInArrow(run, "d long, h long, p long"))
 
-        runs = written(rows.mapInArrow(run, "d long, h long"))
+    def _candidates(self) -> DataFrame:
+        """(a, b): pairs of representatives, a < b, that may share a span. Runs that the same texts share are taken once."""
+        pairs, runs = self._shared_windows()
+        if runs is None:
+            return pairs
+        runs = runs.select("d", "h").distinct()
         group = runs.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("d")).alias("s1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("s2")).where("n > 1")
         one = group.groupBy("n", "s1", "s2").agg(F.min("h").alias("h")).select("h")
-        return _pairs(runs.join(one, "h"), "h")
+        return pairs.unionByName(_pairs(runs.join(one, "h"), "h")).distinct()
 
     def spans(self) -> DataFrame:
         """(doc_id_a, start_a, doc_id_b, start_b, length): the maximal exact repeats between representatives."""
-        named = written(self._candidates())
+        return self._spans_of(written(self._candidates()))
+
+    def _spans_of(self, named: DataFrame) -> DataFrame:
         wanted = named.select(F.explode(F.array("a", "b")).alias("d")).distinct()
         texts = written(self.texts.where(F.length("t") >= self.least).join(wanted, "d", "left_semi").dropDuplicates(["d"]))
         pairs = named.join(texts.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
@@ -292,9 +301,15 @@ class Spans:
         return b.unionByName(equal).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
     def shares(self) -> DataFrame:
-        """(doc_id, n_chars, shared_chars, shared_share) of each record with a span that stands elsewhere too."""
-        s = self.spans()
+        """(doc_id, n_chars, shared_chars, shared_share) of each record with a span that stands elsewhere too.
+
+        Where very many texts share a run no pairs are made: it is enough that a run of least characters is not alone."""
+        named, runs = self._shared_windows()
+        s = self._spans_of(named)
         both = s.select(F.col("doc_id_a").alias("d"), F.col("start_a").alias("s"), "length").unionByName(s.select(F.col("doc_id_b").alias("d"), F.col("start_b").alias("s"), "length"))
+        if runs is not None:
+            known = runs.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("h")
+            both = both.unionByName(runs.join(known, "h", "left_semi").select("d", F.col("p").alias("s"), F.lit(self.least).cast("long").alias("length")))
         ends = both.distinct().groupBy("d").agg(F.array_sort(F.collect_list(F.struct("s", (F.col("s") + F.col("length")).alias("e")))).alias("v"))
         # length of the union of the spans, in order of their starts
         first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e"))

@@ -79,6 +79,17 @@ def test_short_notice_in_very_many_texts(spark, monkeypatch):
     assert sum(d.count() for d in named) < 90 * 89 / 2 / 4  # windows at the notice's ends are rarer and name some
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_very_common_windows_change_no_result(spark, monkeypatch, hot):
+    """With nearly every window taken as very common, pairs and shares stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(i, text(i % 7, 60, "ab") + text(50 + i % 3, 40, "ab") + text(i, 20, "ab")) for i in range(30)]
+    want = [(pairs(docs), {r.doc_id: r.shared_chars for r in Spans(docs).shares().collect()}), (pairs(frame(spark, rows), least=12), {r.doc_id: r.shared_chars for r in Spans(frame(spark, rows), least=12).shares().collect()})]
+    monkeypatch.setattr(spans, "HOT", hot)
+    got = [(pairs(docs), {r.doc_id: r.shared_chars for r in Spans(docs).shares().collect()}), (pairs(frame(spark, rows), least=12), {r.doc_id: r.shared_chars for r in Spans(frame(spark, rows), least=12).shares().collect()})]
+    assert got == want
+
+
 def test_long_text_in_segments(spark):
     big = text(8, 3 * spans.SEGMENT + 17)
     for at in (spans.SEGMENT - 200, spans.SEGMENT - 399, spans.SEGMENT - 1, 2 * spans.SEGMENT - 798):
