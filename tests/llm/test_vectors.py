@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,23 @@ def test_cells_are_visited_in_order():
         mine = cell[q == i]
         total = (d1[i][:, None] + d2[i]).ravel()
         assert np.allclose(total[mine], np.sort(total)[:15]) and len(set(mine)) == 15
+
+
+@pytest.mark.parametrize("n, least", [(1 << 15, 0.9), (1 << 19, 0.9)])
+def test_default_cells_keep_up_with_the_codebooks(n, least):
+    """Codebooks of 64 and 256, as collections of n vectors get, forced on a collection of about 1,900."""
+    pdf = pq.read_table("/root/testdata/sf0.1/prototype_embeddings.parquet", columns=["category", "layer", "proto_id", "embedding"]).to_pandas().drop_duplicates("proto_id")
+    pdf = pdf[(pdf.category.str.strip().str.lower() == "sheet_metal") & (pdf.layer == 7)]
+    x = np.stack([v for v in pdf.embedding if v is not None and len(v) == 32]).astype(np.float32)
+    x = x[np.isfinite(x).all(1) & (x != 0).any(1)]
+    index = vectors.Index(x[:2048], n, 50_000, 7)
+    q = np.arange(0, len(x), 10)
+    d1, d2 = index.distances(x)
+    cell = d1.argmin(1) * index.k + d2.argmin(1)
+    d = ((x[q, None] - x) ** 2).sum(-1)
+    d[np.arange(len(q)), q] = np.inf
+    near = np.argpartition(d, 5, axis=1)[:, :5]
+    who, seen = index.visit(d1[q], d2[q], index.most(None), None)
+    held = [np.isin(cell[near[i]], seen[who == i]).mean() for i in range(len(q))]
+    assert np.mean(held) >= least
+    assert index.most(0.8) == 64
