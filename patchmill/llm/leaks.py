@@ -141,12 +141,12 @@ def _stretches(h: np.ndarray, of: np.ndarray, items: Items) -> tuple[np.ndarray,
     return np.insert(at[run].astype(np.int32), spot, -1), np.insert(of[run], spot, -1)
 
 
-def _longest(ids: np.ndarray, sa: np.ndarray, keys: np.ndarray, items: Items, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each test suffix, the length of its longest match in the shard (0: under min_words) and where it starts."""
+def _longest(ids: np.ndarray, sa: np.ndarray, keys: np.ndarray, items: Items, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each test suffix, the length of its longest match in the shard (0: under min_words) and the range of sa that holds all of them."""
     found = np.flatnonzero((hi > lo)[items.key_of]) if len(items.starts) else np.zeros(0, np.int64)
-    best, where = np.zeros(len(items.starts), np.int64), np.full(len(items.starts), -1, np.int64)
+    best, first, last = (np.zeros(len(items.starts), np.int64) for _ in range(3))
     if not len(found):
-        return best, where
+        return best, first, last
     end = (items.begin + items.size)[items.of[items.starts[found]]]
     # narrow each range word by word until it would be empty: what is left matches longest
     left, right, depth = lo[items.key_of[found]].copy(), hi[items.key_of[found]].copy(), np.full(len(found), items.min_words)
@@ -172,15 +172,15 @@ def _longest(ids: np.ndarray, sa: np.ndarray, keys: np.ndarray, items: Items, lo
         live = live[ok]
         left[live], right[live] = bounds[0][ok], bounds[1][ok]
         depth[live] += 1
-    best[found], where[found] = depth, sa[left]
-    return best, where
+    best[found], first[found], last[found] = depth, left, right
+    return best, first, last
 
 
 def search(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """One shard against one block of items.
 
     Gives (text, item, covered words) for each pair with a match, and (item, start in the item, length, text) of the
-    longest match of every test suffix that has one.
+    longest match of every test suffix that is the item's longest here, once for each text that holds it.
     """
     none = np.zeros(0, np.int64)
     ids, of = _stretches(*words(data, offsets), items)
@@ -212,10 +212,16 @@ def search(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[list[np
     add = np.where(new, items.min_words, np.minimum(gap, items.min_words))
     begin = np.flatnonzero(new)
     pairs = [text[begin], item[begin], np.add.reduceat(add, begin)]
-    best, where = _longest(ids, sa, keys, items, lo, hi)
-    got = np.flatnonzero(best > 0)
-    suffix = items.starts[got]
-    return pairs, [items.of[suffix], suffix - items.begin[items.of[suffix]], best[got], of[where[got]]]
+    best, first, last = _longest(ids, sa, keys, items, lo, hi)
+    # shorter matches of an item are beaten already, so only the longest are given with all their texts
+    most = np.zeros(len(items.begin), np.int64)
+    np.maximum.at(most, items.of[items.starts], best)
+    got = np.flatnonzero((best > 0) & (best == most[items.of[items.starts]]))
+    n = last[got] - first[got]
+    at = np.repeat(first[got] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    which, text = np.unique(np.stack([np.repeat(got, n), of[sa[at]]]), axis=1)
+    suffix = items.starts[which]
+    return pairs, [items.of[suffix], suffix - items.begin[items.of[suffix]], best[which], text]
 
 
 def _shards(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -293,8 +299,8 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     """Per item the longest stretch of its words that stands verbatim in the corpus, and the lowest document with it.
 
     (item_id, item_words, start, length, doc_id); start counts words from 0. Of equal lengths the earliest start wins.
-    Items without a match of min_words words give no row. Each shard reports a document for each of its longest
-    suffixes, so doc_id is the lowest of those reported.
+    Items without a match of min_words words give no row. Each shard reports all documents with its longest matches, so
+    doc_id does not depend on how the documents are laid out.
     """
     found = _matches(docs, items, doc_id, item_id, text, min_words, block_bytes, shard_bytes, True)
     best = F.max(F.struct("length", (-F.col("start")).alias("s"), (-F.col("doc_id")).alias("d"), "item_words")).alias("b")

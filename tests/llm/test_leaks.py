@@ -105,3 +105,12 @@ def test_suffix_array():
     for n in (1, 2, 7, 60):
         ids = rng.integers(0, 3, n)
         assert leaks.suffix_array(ids).tolist() == sorted(range(n), key=lambda i: ids[i:].tolist())
+
+
+@pytest.mark.parametrize("ids", [(7, 3, 9), (3, 9, 7), (9, 7, 3)])
+def test_longest_names_the_lowest_document_whatever_follows(spark, ids):
+    w = ITEM.split()
+    follows = [w[0], w[5], w[9]]  # words of the item, so that the suffixes are sorted by them
+    docs = spark.createDataFrame([(i, " ".join([*w[:10], f])) for i, f in zip(ids, follows)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
+    assert [tuple(r) for r in leaks.longest_matches(docs, items).collect()] == [(5, 12, 0, 10, 3)]
