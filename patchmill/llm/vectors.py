@@ -2,18 +2,26 @@
 
 Each collection (a tuple of key columns) has two codebooks, one for either half of a vector, trained by k-means on a
 bounded sample. A vector's cell is the pair of its nearest centroids, so K + K centroids give K * K cells. A query
-visits cells in the order of the summed squared distances of its halves to the pair's centroids: a heap holds, for each
-first centroid, its next second centroid, and the least head is taken each time. The entries of the visited cells are
-reranked by their exact distance.
-
-With max_distance a visited cell is skipped when the query lies further than that from the cell's border planes, since
-no vector of the cell can then be near enough. That drops nothing and saves most of the work.
-
-Distribution: cells are packed into shards of about `shard` entries, neighbouring cells together; a vector is sent once
-as an entry, and as a query also to each other shard that holds one of its cells. A cell that is itself larger than a
-shard is split by id, and its queries go to each part. Of a group of more than MAX_COPIES equal vectors only the k + 1
-lowest ids are entries: any query that is near to one of the others is as near to k of these with lower ids. The others'
-own neighbours are the k lowest ids of their group.
+visits cells in the order of a sum of two parts, one for either half: a heap holds, for each first centroid, its next
+second centroid, and the least head is taken each time. The entries of the visited cells are reranked by their exact
+distance.
+
+With max_distance the parts are the squared distances of the query's halves to the border planes of the centroids'
+regions, and the traversal ends where their sum exceeds max_distance squared. No vector of a cell beyond can be near
+enough, so the result is exact.
+
+Without it the parts are the squared distances of the halves to the centroids, and the traversal ends after a number of
+cells that hold vectors. That number is measured for each collection: PROBES of its vectors are compared with all
+vectors of the collection, and it is the least with which the visited cells hold `recall` of their k nearest. A recall
+of 1 visits every cell and is exact.
+
+Distribution: one pass counts every cell and finds the probes' true neighbours. By these full counts cells are packed
+into shards of about `shard` entries, neighbouring cells together; a cell that is itself larger than a shard is split by
+a hash of the id, and its queries go to each part. A vector is sent once as an entry, and as a query also to each other
+shard that holds one of its cells. A shard that would get very many queries comes in several copies, and each query goes
+to one of them. Of a group of more than MAX_COPIES equal vectors only the k + 1 lowest ids are entries: any query that is
+near to one of the others is as near to k of these with lower ids. The others' own neighbours are the k lowest ids of
+their group.
 """
 
 from __future__ import annotations
@@ -29,12 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from patchmill.llm.beside import MODEL_BYTES, Step, beside, numbered
 from patchmill.runtime import bounded_batches, written
 
 SAMPLE = 2048
+PROBES = 64
 MAX_COPIES = 64
-MAX_COLLECTIONS = 100_000
-MODEL_BYTES = 64 << 20
+RECALL = 0.95
+#: A shard gets at most about so many queries for each of its entries.
+QUERIES = 4
 
 
 def usable(vector: str | Column, dim: int) -> Column:
@@ -59,28 +70,43 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarray:
 
 
 class Index:
-    """Codebooks and shards of one collection."""
+    """Codebooks, and once plan() was called the shards, of one collection."""
 
-    def __init__(self, sample: np.ndarray, n: int, shard: int, seed: int):
+    def __init__(self, sample: np.ndarray, n: int, seed: int, ids: np.ndarray | None = None, asked: float = 1.0):
         h = sample.shape[1] // 2
-        k = int(min(256, len(sample), max(1, 2 ** round(np.log2(max(1.0, n / 8)) / 2))))
-        self.half = h
+        self.half, self.n, self.asked = h, n, asked
+        self.k = k = int(min(256, len(sample), max(1, 2 ** round(np.log2(max(1.0, n / 8)) / 2))))
         self.books = [kmeans(sample[:, :h], k, seed), kmeans(sample[:, h:], k, seed + 1)]
         for i, c in enumerate(self.books):  # near centroids get near numbers
             if len(c) > 1:
                 axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0]
                 self.books[i] = c[np.argsort(c @ axis, kind="stable")]
+        self.sample, self.probe = sample, sample[:PROBES]
+        self.probe_ids = np.arange(len(self.probe)) if ids is None else ids[:PROBES]
+        self.cells = k * k
+        self.count = self.split = self.shard = self.copies = None
+        self._gaps()
+
+    def _gaps(self) -> None:
         self.between = [np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(-1), 1e-12)).astype(np.float32) for c in self.books]
-        d1, d2 = self.distances(sample)
-        self.k = k
-        share = np.bincount(d1.argmin(1) * k + d2.argmin(1), minlength=k * k) / len(sample) * n
-        large = share > shard
-        self.split = np.where(large, np.ceil(share / shard), 1).astype(np.int32)
-        small = np.floor(np.cumsum(np.where(large, 0, share)) / shard).astype(np.int64)
-        parts = np.where(large, self.split, 0)
-        # a large cell gets shards of its own, numbered after all others
-        self.shard = np.where(large, small.max() + 1 + np.cumsum(parts) - parts, small).astype(np.int32)
-        self.bytes = sum(c.nbytes for c in [*self.books, *self.between, self.split, self.shard])
+        self.longest = sum(float((c * c).sum(1).max()) for c in self.books)
+
+    def __getstate__(self) -> dict:
+        state = {k: v for k, v in self.__dict__.items() if k not in ("between", "longest")}
+        if self.count is not None:  # only what is not 0 or 1
+            full, large = np.flatnonzero(self.count), np.flatnonzero(self.split > 1)
+            state |= {"count": (full, self.count[full]), "split": (large, self.split[large]), "shard": self.shard[full]}
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self._gaps()
+        if self.count is not None:
+            full, n = self.count
+            large, parts = self.split
+            self.count, self.split, shard = np.zeros(self.k**2, np.int64), np.ones(self.k**2, np.int32), self.shard
+            self.count[full], self.split[large], self.shard = n, parts, np.zeros(self.k**2, np.int32)
+            self.shard[full] = shard
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -88,37 +114,93 @@ class Index:
             out.append(np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1) - 2 * (v @ c.T), 0))
         return out
 
-    def most(self, max_distance: float | None) -> int:
-        """How many cells a query visits where the caller does not say."""
-        return max(256, self.k * self.k // 16) if max_distance is None else 64
-
-    def visit(self, d1: np.ndarray, d2: np.ndarray, cells: int, max_distance: float | None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, cell) of the cells that each query visits."""
-        b, k = d1.shape
-        row = np.arange(b)
-        width = min(k, cells)
-        o1, o2 = (np.argsort(d, axis=1)[:, :width] for d in (d1, d2))
-        s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
-        s2 = np.concatenate([s2, np.full((b, 1), np.inf, s2.dtype)], axis=1)
-        heads, turn = s1 + s2[:, :1], np.zeros((b, width), np.int32)
-        out = np.empty((min(cells, width * width), b), np.int32)
-        for t in range(len(out)):
-            live = min(width, t + 1)  # a first centroid's turn comes only after all nearer ones had theirs
-            r = heads[:, :live].argmin(1)
-            j = turn[row, r]
-            out[t] = o1[row, r] * k + o2[row, np.minimum(j, width - 1)]
-            turn[row, r] = j + 1
-            heads[row, r] = s1[row, r] + s2[row, np.minimum(j + 1, width)]
-        query, cell = np.tile(row, len(out)), out.ravel()
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        d1, d2 = self.distances(x)
+        return (d1.argmin(1) * self.k + d2.argmin(1)).astype(np.int32)
+
+    def plan(self, count: np.ndarray, shard: int, k: int, recall: float, max_distance: float | None, near: np.ndarray, near_of: np.ndarray, cells: int | None = None) -> None:
+        """Shards from the number of entries of every cell; the cells to visit from those that hold the probes' neighbours.
+
+        near and near_of: the cell of each neighbour of a probe, and which probe.
+        """
+        self.count = count
+        large = count > shard
+        self.split = np.where(large, -(-count // shard), 1).astype(np.int32)
+        small = np.cumsum(np.where(large, 0, count)) // shard  # at most 2 * shard each
+        parts = np.where(large, self.split, 0)
+        # a large cell gets shards of its own, numbered after all others
+        self.shard = np.where(large, small.max() + 1 + np.cumsum(parts) - parts, small).astype(np.int32)
+        self.cells = int((count > 0).sum()) if cells is None else cells
+        if max_distance is None and cells is None and recall < 1:
+            d1, d2 = self.distances(self.probe)
+            total = (d1[:, :, None] + d2[:, None]).reshape(len(d1), -1)[:, count > 0]
+            at = d1[near_of, near // self.k] + d2[near_of, near % self.k]
+            before = np.concatenate([(total[p] < a[:, None]).sum(1) for p, a in ((p, at[near_of == p]) for p in np.unique(near_of))]) if len(near) else np.zeros(0)
+            need = np.sort(before)[max(0, int(np.ceil(recall * len(before))) - 1)] + 1 if len(before) else 1
+            self.cells = int(min(self.cells, max(need, 16)))
+        # queries by shard, from the sample
+        seen = self.visit(self.sample, max_distance)[1]
+        shards = int((self.shard + self.split).max())
+        named = np.bincount(self.shard[seen], minlength=shards)
+        for cell in np.flatnonzero(large):  # its queries go to each of its shards
+            named[self.shard[cell] : self.shard[cell] + self.split[cell]] = (seen == cell).sum()
+        self.copies = np.maximum(1, np.ceil(named * (self.n * self.asked / len(self.sample)) / (QUERIES * shard))).astype(np.int32)
+        self.sample = self.probe = self.probe_ids = None
+
+    def visit(self, x: np.ndarray, max_distance: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of the cells with entries that each query visits."""
+        parts, limit = self.distances(x), np.float32(np.inf)
         if max_distance is not None:
-            bound = 0
-            for d, o, gap, of in ((d1, o1, self.between[0], cell // k), (d2, o2, self.between[1], cell % k)):
-                home = o[query, 0]
-                far = np.maximum(d[query, of] - d[query, home], 0) / (2 * gap[home, of])
-                bound = bound + np.where(home == of, 0, far) ** 2
-            keep = bound <= (max_distance + 1e-3) ** 2
-            query, cell = query[keep], cell[keep]
-        return query, cell
+            limit = np.float32((max_distance + 1e-3) ** 2)
+            slack = np.float32(1e-5) * (self.longest + (x * x).sum(1))[:, None]  # rounding of distances
+            for i, (d, gap) in enumerate(zip(parts, self.between)):
+                home = d.argmin(1)[:, None]
+                far = np.maximum(d - np.take_along_axis(d, home, 1) - slack, 0) / (2 * gap[home[:, 0]])
+                np.put_along_axis(far, home, 0, 1)
+                parts[i] = far * far
+        most = self.k * self.k if max_distance is not None else self.cells
+        return traverse(*parts, self.count > 0, most, limit)
+
+
+def traverse(d1: np.ndarray, d2: np.ndarray, full: np.ndarray, most: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell): per query the up to most cells with entries of the least sums of d1 and d2, none over limit.
+
+    All queries are moved in step. For each the heap holds the next cell of each first centroid whose turn has come.
+    """
+    b, k = d1.shape
+    o1, o2 = (np.argsort(d, axis=1, kind="stable") for d in (d1, d2))
+    s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
+    width = max(1, int((s1 <= limit).sum(1).max(initial=0)))
+    s1, s2 = s1[:, :width], np.concatenate([s2, np.full((b, 1), np.inf, s2.dtype)], axis=1)
+    heads, turn = s1 + s2[:, :1], np.zeros((b, width), np.int32)
+    who, left = np.arange(b), np.full(b, most)
+    live = np.ones(b, bool)
+    query, cell = [], []
+    t = 0
+    while len(who):
+        t += 1
+        row = np.arange(len(who))
+        r = heads[:, : min(width, t)].argmin(1)  # a first centroid's turn comes only after all nearer ones had theirs
+        j = turn[row, r]
+        live &= (heads[row, r] <= limit) & (j < k) & (left > 0)
+        at = o1[row, r] * k + o2[row, np.minimum(j, k - 1)]
+        hit = live & full[at]
+        left -= hit
+        query.append(who[hit])
+        cell.append(at[hit])
+        turn[row, r] = j + 1
+        heads[row, r] = s1[row, r] + s2[row, np.minimum(j + 1, k)]
+        if 4 * live.sum() <= 3 * len(who):
+            who, left, o1, o2, s1, s2, heads, turn = (v[live] for v in (who, left, o1, o2, s1, s2, heads, turn))
+            live = np.ones(len(who), bool)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(query or none), np.concatenate(cell or none).astype(np.int32)
+
+
+def _part(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of parts an id belongs to, by a hash."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int32)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -171,7 +253,89 @@ def _search(cells: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray,
     return rq[keep], ids[re[keep]], dist[keep]
 
 
-def similar(vectors: DataFrame, keys: list[str], *, vec_id: str, vector: str, dim: int, k: int = 5, max_distance: float | None = None, cells: int | None = None, shard: int = 50_000, sample: int = SAMPLE, queries: Callable[[Column], Column] | None = None, seed: int = 7) -> DataFrame:
+_COUNTED = T.StructType([T.StructField(n, t) for n, t in (("_c", T.LongType()), ("_probe", T.IntegerType()), ("_cell", T.IntegerType()), ("_id", T.LongType()), ("_d", T.DoubleType()), ("_n", T.LongType()))])
+_SENT = T.StructType([T.StructField(n, t) for n, t in (("_c", T.LongType()), ("_shard", T.IntegerType()), ("_copy", T.IntegerType()), ("_id", T.LongType()), ("_v", T.ArrayType(T.FloatType())), ("_cell", T.IntegerType()), ("_visits", T.ArrayType(T.IntegerType())))])
+_FOUND = T.StructType([T.StructField(n, t) for n, t in (("_c", T.LongType()), ("id", T.LongType()), ("neighbour", T.LongType()), ("distance", T.DoubleType()))])
+
+
+class _Count(Step):
+    """Entries of each cell, as rows with probe -1, and the nearest vectors of the probes in this task."""
+
+    def __init__(self, width: int, dim: int, k: int, probes: bool):
+        self.width, self.dim, self.k, self.probes = width, dim, k, probes
+        self.open: dict[int, tuple] = {}
+
+    def feed(self, number: int, model: Index, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = rows.column(self.width).to_numpy(zero_copy_only=False)
+        x = _matrix(rows.column(self.width + 1), self.dim)
+        if number not in self.open:
+            if len(self.open) >= 64:
+                yield from self.finish()
+            self.open[number] = np.zeros(model.k**2, np.int64), {}
+        count, best = self.open[number]
+        cell = np.concatenate([model.cell(x[i : i + 8192]) for i in range(0, len(x), 8192)])
+        np.add.at(count, cell, 1)
+        if self.probes:
+            p = model.probe
+            d = np.maximum((p * p).sum(1)[:, None] + (x * x).sum(1) - 2 * (p @ x.T), 0)
+            d[model.probe_ids[:, None] == ids] = np.inf
+            take = np.argpartition(d, self.k - 1, axis=1)[:, : self.k] if len(x) > self.k else np.tile(np.arange(len(x)), (len(p), 1))
+            for i, t in enumerate(take):
+                mine = [*best.get(i, ()), *zip(d[i, t].tolist(), ids[t].tolist(), cell[t].tolist())]
+                best[i] = sorted(set(m for m in mine if m[0] < np.inf))[: self.k]
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        for number, (count, best) in self.open.items():
+            full = np.flatnonzero(count)
+            near = [(i, c, v, d) for i, ms in best.items() for d, v, c in ms]
+            n = len(full) + len(near)
+            probe, cell = [-1] * len(full) + [m[0] for m in near], [*full.tolist(), *(m[1] for m in near)]
+            ids, d, times = [None] * len(full) + [m[2] for m in near], [None] * len(full) + [m[3] for m in near], [*count[full].tolist(), *[0] * len(near)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(([number] * n, probe, cell, ids, d, times), to_arrow_schema(_COUNTED))], names=_COUNTED.names)
+        self.open = {}
+
+
+class _Assign(Step):
+    """A row for each shard that a vector goes to, as an entry (cell is not -1), as a query (visits is not empty) or both."""
+
+    def __init__(self, width: int, dim: int, max_distance: float | None, asks: bool):
+        self.width, self.dim, self.max_distance, self.asks = width, dim, max_distance, asks
+
+    def feed(self, number: int, model: Index, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(64, min(2048, (1 << 19) // model.cells)) if self.max_distance is None else 2048
+        for at in range(0, rows.num_rows, step):
+            part = rows.slice(at, step)
+            ids = part.column(self.width).to_numpy(zero_copy_only=False)
+            x = _matrix(part.column(self.width + 1), self.dim)
+            cell = model.cell(x)
+            entry_shard = model.shard[cell] + _part(ids, model.split[cell])
+            who = np.arange(len(ids)) if self.asks else np.flatnonzero(part.column(self.width + 2).to_numpy(zero_copy_only=False))
+            query, seen = model.visit(x[who], self.max_distance)
+            query = who[query]
+            # split cells count as each of their shards
+            n = model.split[seen]
+            query, seen, first = np.repeat(query, n), np.repeat(seen, n), np.repeat(np.cumsum(n) - n, n)
+            shard = model.shard[seen] + (np.arange(len(seen)) - first).astype(np.int32)
+            copy = _part(ids[query], model.copies[shard])
+            # an entry goes to every copy of its shard; one that asks nothing there is a row without visits
+            n = model.copies[entry_shard]
+            entry = np.repeat(np.arange(len(ids)), n)
+            copy = np.concatenate([copy, (np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)])
+            query, shard = np.concatenate([query, entry]), np.concatenate([shard, entry_shard[entry]])
+            seen = np.concatenate([seen, np.full(len(entry), -1, np.int32)])
+            order = np.lexsort((seen, copy, shard, query))
+            query, shard, copy, seen = query[order], shard[order], copy[order], seen[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(query) != 0) | (np.diff(shard) != 0) | (np.diff(copy) != 0)]))
+            real = seen >= 0
+            sizes = np.add.reduceat(real, new)
+            visits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(seen[real].astype(np.int32)))
+            q, s, c = query[new], shard[new], copy[new]
+            home = np.where(~real[new], cell[q], -1)  # the entry's own row comes first
+            vec = pa.FixedSizeListArray.from_arrays(pa.array(x[q].ravel()), self.dim).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), number, np.int64)), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(ids[q]), vec, pa.array(home.astype(np.int32)), visits], names=_SENT.names)
+
+
+def similar(vectors: DataFrame, keys: list[str], *, vec_id: str, vector: str, dim: int, k: int = 5, max_distance: float | None = None, recall: float = RECALL, cells: int | None = None, shard: int = 50_000, sample: int = SAMPLE, queries: Callable[[Column], Column] | None = None, seed: int = 7, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """(keys, id, neighbour, distance): of every usable vector the k nearest others of its collection.
 
     Equal distances are settled by the lower id. With max_distance only neighbours within it count. queries turns the id
@@ -181,132 +345,70 @@ def similar(vectors: DataFrame, keys: list[str], *, vec_id: str, vector: str, di
     Repeated rows count once. An id that comes with several vectors in a collection is searched by each and is near by
     the nearest of them. A collection of one vector gives no row. Other columns, of whatever names, are ignored.
 
-    cells is how many cells a query visits at most, by default 64 with max_distance and without it 256 or a sixteenth of
-    all, whichever is more. On 18,758 vectors of one collection of the check table the visited cells then hold 0.94, 0.99
-    and 0.99 of the 5 nearest with codebooks of 64, 128 and 256, the last two forced; those within 0.8 are all found.
+    With max_distance the result is exact. Without it a query visits as many cells as hold `recall` of the k nearest of
+    up to PROBES vectors of its collection, which are compared with all others; recall=1 visits all cells, which is
+    exact too. cells sets their number instead.
 
     The codebooks are fitted on about `sample` vectors of a collection, chosen by a hash of the id; all are indexed.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = vectors.where(usable(vector, dim)).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).dropna(subset=[*(f"_k{i}" for i in range(len(keys))), "_id"])
-    own = [f"_k{i}" for i in range(len(keys))]
+    own, width = [f"_k{i}" for i in range(len(keys))], len(keys)
     named = vectors.select(*[F.col(c).alias(o) for c, o in zip(keys, own)]).schema.fields
-    result = T.StructType([*named, T.StructField("id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("distance", T.DoubleType())])
 
     # equal vectors, and the size of each collection
     copies = written(rows.groupBy(*own, F.xxhash64("_v").alias("_h")).agg(F.count("*").alias("n")))
-    sizes = copies.groupBy(*own).agg(F.sum(F.when(F.col("n") > MAX_COPIES, k + 1).otherwise(F.col("n"))).alias("n")).limit(MAX_COLLECTIONS + 1).collect()
-    if len(sizes) > MAX_COLLECTIONS:
-        raise ValueError(f"more than {MAX_COLLECTIONS} collections")
-    if not sizes:
-        return spark.createDataFrame([], result).toDF(*keys, "id", "neighbour", "distance")
+    sizes = copies.groupBy(*own).agg(F.sum(F.when(F.col("n") > MAX_COPIES, k + 1).otherwise(F.col("n"))).alias("_n"))
     hot = copies.where(F.col("n") > MAX_COPIES).drop("n")
     surplus = None
     if not hot.isEmpty():
-        ids = rows.select(*own, F.xxhash64("_v").alias("_h"), "_id").join(hot, [*own, "_h"]).distinct()
-        rank = F.row_number().over(Window.partitionBy(*own, "_h").orderBy("_id"))
-        reps = written(ids.withColumn("r", rank).where(F.col("r") <= k + 1))
-        others = ids.join(reps.select(*own, "_id"), [*own, "_id"], "left_anti")
-        rows = rows.join(others.select(*own, "_id"), [*own, "_id"], "left_anti").select(*own, "_id", "_v")
+        ids = rows.select(*own, F.xxhash64("_v").alias("_h"), "_v", "_id").join(hot, [*own, "_h"]).groupBy(*own, "_v", "_id").agg(F.lit(1))
+        of = Window.partitionBy(*own, "_v")  # by the values themselves, as hashes may be equal by chance
+        reps = written(ids.withColumn("r", F.row_number().over(of.orderBy("_id"))).where(F.col("r") <= k + 1).select(*own, "_v", "_id", "r"))
+        others = ids.join(reps.select(*own, "_v", "_id"), [*own, "_v", "_id"], "left_anti").select(*own, "_v", "_id")
         asked = others if queries is None else others.where(queries(F.col("_id")))
-        surplus = asked.join(reps.where(F.col("r") <= k).select(*own, "_h", F.col("_id").alias("neighbour")), [*own, "_h"])
+        surplus = asked.join(reps.where(F.col("r") <= k).select(*own, "_v", F.col("_id").alias("neighbour")), [*own, "_v"])
         surplus = surplus.select(*own, F.col("_id").alias("id"), "neighbour", F.lit(0.0).alias("distance"))
+        rows = rows.join(others, [*own, "_v", "_id"], "left_anti").select(*own, "_id", "_v")
+    asks = queries is None
+    if not asks:
+        rows = rows.withColumn("_ask", F.coalesce(queries(F.col("_id")), F.lit(False)))
 
     # codebooks from a sample: the share of ids whose hash is low enough
-    counts = spark.createDataFrame([(*r[:-1], r[-1]) for r in sizes], T.StructType([*named, T.StructField("_n", T.LongType())]))
     low = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(sample << 30) / F.col("_n")
-    some = rows.join(F.broadcast(counts), own).where(low)  # at most MAX_COLLECTIONS rows
-    codes = T.StructType([*named, T.StructField("_m", T.BinaryType())])
+    some = rows.join(sizes, own).where(low)
+    codes = T.StructType([*named, T.StructField("_n", T.LongType()), T.StructField("_m", T.BinaryType())])
 
     def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("_id")["_v"].to_numpy()).astype(np.float32)
-        return pd.DataFrame([[*key, pickle.dumps(Index(x, int(pdf["_n"].iat[0]), shard, seed))]], columns=[f.name for f in codes])
-
-    found = [surplus] if surplus is not None else []
-    models = written(some.groupBy(*own).applyInPandas(train, codes))
-    for block in _blocks(models):
-        found.append(_one_pass(rows, block, own, named, dim, k, max_distance, cells, queries))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    best = F.row_number().over(Window.partitionBy(*own, "id").orderBy("distance", "neighbour"))
-    out = out.groupBy(*own, "id", "neighbour").agg(F.min("distance").alias("distance")).withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
-    return out.toDF(*keys, "id", "neighbour", "distance")
-
-
-def _blocks(models: DataFrame) -> Iterator[dict]:
-    """The collections' indexes in blocks of about MODEL_BYTES."""
-    block, size = {}, 0
-    for *key, m in models.toLocalIterator():
-        block[tuple(key)] = pickle.loads(m)
-        size += len(m)
-        if size > MODEL_BYTES:
-            yield block
-            block, size = {}, 0
-    if block:
-        yield block
-
-
-def _one_pass(rows: DataFrame, models: dict, own: list[str], named: list, dim: int, k: int, max_distance: float | None, cells: int | None, queries: Callable[[Column], Column] | None) -> DataFrame:
-    spark = rows.sparkSession
-    index = spark.sparkContext.broadcast(models)
-    place = {key: i for i, key in enumerate(models)}
-    width = len(own)
-    sent = ["_c", "_shard", "_id", "_v", "_cell", "_visits"]
-    asks = queries is None
+        x = np.stack(pdf["_v"].to_numpy()).astype(np.float32)
+        ids = pdf["_id"].to_numpy()
+        order = np.lexsort((ids, _part(ids, np.full(len(ids), 1 << 30))))  # by a hash, so that the first are any ones
+        n, asked = int(pdf["_n"].iat[0]), 1.0 if asks else float(pdf["_ask"].mean())
+        return pd.DataFrame([[*key, n, pickle.dumps(Index(x[order], n, seed, ids[order], asked))]], columns=codes.names)
+
+    models = written(numbered(some.groupBy(*own).applyInPandas(train, codes)))
+
+    # the shards by full counts
+    probes = max_distance is None and cells is None and recall < 1
+    counted = beside(rows.select(*own, "_id", "_v"), models, own, lambda: _Count(width, dim, k, probes), _COUNTED, model_bytes)
+    counted = counted.groupBy("_c", "_probe", "_cell", "_id").agg(F.min("_d").alias("_d"), F.sum("_n").alias("_times"))
+    counted = written(counted.withColumn("_r", F.row_number().over(Window.partitionBy("_c", "_probe", F.when(F.col("_probe") < 0, F.col("_cell"))).orderBy("_d", "_id"))).where(F.col("_r") <= k).drop("_r"))
+
+    def plan(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = model.copy()
+        for i, m in enumerate(model["_m"]):
+            index = pickle.loads(m)
+            count = np.zeros(index.k**2, np.int64)
+            own_cells, near = pdf[pdf["_probe"] < 0], pdf[pdf["_probe"] >= 0]
+            count[own_cells["_cell"].to_numpy()] = own_cells["_times"].to_numpy()
+            index.plan(count, shard, k, recall, max_distance, near["_cell"].to_numpy(), near["_probe"].to_numpy(), cells)
+            out["_m"] = [pickle.dumps(index)]
+        return out
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, dicts = np.zeros(batch.num_rows, np.int64), []
-            for i in range(width):
-                d = batch.column(i).dictionary_encode()
-                dicts.append((d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False)))
-                code = code * len(d.dictionary) + dicts[-1][1]
-            for c in np.unique(code):
-                at = np.flatnonzero(code == c)
-                key = tuple(values[i[at[0]]] for values, i in dicts)
-                if key not in place:
-                    continue
-                model = index.value[key]
-                most = cells or model.most(max_distance)
-                step = max(64, min(2048, (1 << 19) // most))  # what visit() holds stays as small with many cells
-                for part in np.array_split(at, -(-len(at) // step)):
-                    take = pa.array(part)
-                    ids = batch.column(width).take(take).to_numpy(zero_copy_only=False)
-                    x = _matrix(batch.column(width + 1).take(take), dim)
-                    d1, d2 = model.distances(x)
-                    cell = (d1.argmin(1) * model.k + d2.argmin(1)).astype(np.int32)
-                    entry_shard = model.shard[cell] + (ids % model.split[cell]).astype(np.int32)
-                    ask = np.ones(len(part), bool) if asks else batch.column(width + 2).take(take).to_numpy(zero_copy_only=False).astype(bool)
-                    who = np.flatnonzero(ask)
-                    query, seen = model.visit(d1[who], d2[who], most, max_distance)
-                    query = who[query]
-                    # one row for each shard that a query visits; split cells count as each of their shards
-                    n = model.split[seen]
-                    query, seen, first = np.repeat(query, n), np.repeat(seen, n), np.repeat(np.cumsum(n) - n, n)
-                    shard = model.shard[seen] + (np.arange(len(seen)) - first).astype(np.int32)
-                    # an entry that asks nothing there is a row without visits
-                    query = np.concatenate([query, np.arange(len(part))])
-                    shard = np.concatenate([shard, entry_shard])
-                    seen = np.concatenate([seen, np.full(len(part), -1, np.int32)])
-                    order = np.lexsort((seen, shard, query))
-                    query, shard, seen = query[order], shard[order], seen[order]
-                    new = np.flatnonzero(np.concatenate([[True], (np.diff(query) != 0) | (np.diff(shard) != 0)]))
-                    real = seen >= 0
-                    sizes = np.add.reduceat(real, new)
-                    visits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(seen[real].astype(np.int32)))
-                    q, s = query[new], shard[new]
-                    home = np.where(entry_shard[q] == s, cell[q], -1)
-                    vec = pa.FixedSizeListArray.from_arrays(pa.array(x[q].ravel()), dim).cast(pa.list_(pa.float32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), place[key], np.int32)), pa.array(s.astype(np.int32)), pa.array(ids[q]), vec, pa.array(home.astype(np.int32)), visits], names=sent)
-
-    cols = [*own, "_id", "_v"] + ([] if asks else ["_ask"])
-    if not asks:
-        rows = rows.withColumn("_ask", F.coalesce(queries(F.col("_id")), F.lit(False)))
-    out = T.StructType([*named, T.StructField("id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("distance", T.DoubleType())])
-    keys = list(models)
-    spread = rows.select(*cols).mapInArrow(assign, "_c int, _shard int, _id long, _v array<float>, _cell int, _visits array<int>")
+    # a collection has at most 65,536 cells and PROBES * k neighbours
+    planned = written(counted.groupBy("_c").cogroup(models.groupBy("_c")).applyInPandas(plan, models.schema))
+    sent = beside(rows, planned, own, lambda: _Assign(width, dim, max_distance, asks), _SENT, model_bytes)
 
     def shard_search(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -314,7 +416,6 @@ def _one_pass(rows: DataFrame, models: dict, own: list[str], named: list, dim: i
         ids = col["_id"].to_numpy(zero_copy_only=False)
         x = _matrix(col["_v"], dim)
         cell = col["_cell"].to_numpy(zero_copy_only=False)
-        key = keys[col["_c"][0].as_py()]
         # repeated rows once
         once = np.unique(np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), -1), x.view(np.uint8).reshape(len(ids), -1)], axis=1).view(f"V{8 + 4 * dim}").ravel(), return_index=True)[1]
         entry = once[cell[once] >= 0]
@@ -323,11 +424,15 @@ def _one_pass(rows: DataFrame, models: dict, own: list[str], named: list, dim: i
         ask = once[offsets[once + 1] > offsets[once]]
         visits = [values[offsets[i] : offsets[i + 1]] for i in ask]
         q, nearest, dist = _search(visits, x[ask], ids[ask], x[entry], ids[entry], cell[entry], k, max_distance)
-        cols = [pa.array([v] * len(q), f.type) for v, f in zip(key, arrow)]
-        return pa.Table.from_arrays([*cols, pa.array(ids[ask][q], pa.int64()), pa.array(nearest, pa.int64()), pa.array(dist, pa.float64())], schema=arrow)
+        return pa.Table.from_arrays([pa.array(np.full(len(q), col["_c"][0].as_py(), np.int64)), pa.array(ids[ask][q], pa.int64()), pa.array(nearest, pa.int64()), pa.array(dist, pa.float64())], schema=found)
 
-    arrow = to_arrow_schema(out)
-    return spread.groupBy("_c", "_shard").applyInArrow(shard_search, out)
+    found = to_arrow_schema(_FOUND)
+    out = sent.groupBy("_c", "_shard", "_copy").applyInArrow(shard_search, _FOUND).join(models.select("_c", *own), "_c").select(*own, "id", "neighbour", "distance")
+    if surplus is not None:
+        out = out.unionByName(surplus)
+    best = F.row_number().over(Window.partitionBy(*own, "id").orderBy("distance", "neighbour"))
+    out = out.groupBy(*own, "id", "neighbour").agg(F.min("distance").alias("distance")).withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
+    return out.toDF(*keys, "id", "neighbour", "distance")
 
 
 def similar_pairs(neighbours: DataFrame, keys: list[str]) -> DataFrame:

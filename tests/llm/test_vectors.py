@@ -97,32 +97,104 @@ def test_recall_on_the_bank(spark):
     assert recall >= 0.9
 
 
+def index_of(x, n, cells=None, recall=vectors.RECALL, max_distance=None, shard=50_000, k=5):
+    """A planned index of x with codebooks as a collection of n vectors gets."""
+    index = vectors.Index(x[: vectors.SAMPLE], n, 7)
+    cell = index.cell(x)
+    p = index.probe
+    d = ((p[:, None] - x) ** 2).sum(-1)
+    d[np.arange(len(p)), np.arange(len(p))] = np.inf
+    near = np.argpartition(d, k, axis=1)[:, :k]
+    index.plan(np.bincount(cell, minlength=index.k**2), shard, k, recall, max_distance, cell[near].ravel(), np.repeat(np.arange(len(p)), k), cells)
+    return index, cell
+
+
 def test_cells_are_visited_in_order():
     rng = np.random.default_rng(0)
-    index = vectors.Index(rng.normal(size=(500, 6)).astype(np.float32), 500, 100, 1)
-    d1, d2 = index.distances(rng.normal(size=(20, 6)).astype(np.float32))
-    q, cell = index.visit(d1, d2, 15, None)
+    index, _ = index_of(rng.normal(size=(500, 6)).astype(np.float32), 500, cells=15, shard=100)
+    x = rng.normal(size=(20, 6)).astype(np.float32)
+    d1, d2 = index.distances(x)
+    q, cell = index.visit(x, None)
+    full = index.count > 0
     for i in range(20):
         mine = cell[q == i]
         total = (d1[i][:, None] + d2[i]).ravel()
-        assert np.allclose(total[mine], np.sort(total)[:15]) and len(set(mine)) == 15
+        want = np.sort(total[full])[:15]
+        assert np.allclose(total[mine], want) and len(set(mine)) == len(want)
+
 
+def held(index, cell, x, step=10):
+    """Share of the 5 nearest of each step-th vector that the visited cells hold."""
+    q = np.arange(0, len(x), step)
+    d = (x[q] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[q] @ x.T
+    d[np.arange(len(q)), q] = np.inf
+    near = np.argpartition(d, 5, axis=1)[:, :5]
+    who, seen = index.visit(x[q], None)
+    order = np.argsort(who, kind="stable")
+    who, seen = who[order], seen[order]
+    cut = np.searchsorted(who, np.arange(len(q) + 1))
+    return np.mean([np.isin(cell[near[i]], seen[cut[i] : cut[i + 1]]).mean() for i in range(len(q))])
 
-@pytest.mark.parametrize("n, least", [(1 << 15, 0.9), (1 << 19, 0.9)])
-def test_default_cells_keep_up_with_the_codebooks(n, least):
-    """Codebooks of 64 and 256, as collections of n vectors get, forced on a collection of about 1,900."""
+
+@pytest.mark.parametrize("n", [1 << 15, 1 << 17, 1 << 19])
+def test_recall_keeps_up_with_the_codebooks(n):
+    """Codebooks of 64, 128 and 256, as collections of n vectors get, forced on a collection of about 1,900."""
     pdf = pq.read_table("/root/testdata/sf0.1/prototype_embeddings.parquet", columns=["category", "layer", "proto_id", "embedding"]).to_pandas().drop_duplicates("proto_id")
     pdf = pdf[(pdf.category.str.strip().str.lower() == "sheet_metal") & (pdf.layer == 7)]
     x = np.stack([v for v in pdf.embedding if v is not None and len(v) == 32]).astype(np.float32)
     x = x[np.isfinite(x).all(1) & (x != 0).any(1)]
-    index = vectors.Index(x[:2048], n, 50_000, 7)
-    q = np.arange(0, len(x), 10)
-    d1, d2 = index.distances(x)
-    cell = d1.argmin(1) * index.k + d2.argmin(1)
-    d = ((x[q, None] - x) ** 2).sum(-1)
-    d[np.arange(len(q)), q] = np.inf
-    near = np.argpartition(d, 5, axis=1)[:, :5]
-    who, seen = index.visit(d1[q], d2[q], index.most(None), None)
-    held = [np.isin(cell[near[i]], seen[who == i]).mean() for i in range(len(q))]
-    assert np.mean(held) >= least
-    assert index.most(0.8) == 64
+    index, cell = index_of(x, n)
+    assert index.cells < (index.count > 0).sum() < index.k**2
+    assert held(index, cell, x) >= 0.9
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.5, None])
+def test_recall_on_a_large_collection(spread):
+    """Tight clusters, loose ones and none: 120,000 vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (120_000, 16))
+    if spread:
+        x = rng.normal(0, 1, (3000, 16))[rng.integers(3000, size=len(x))] + spread * x
+    x = x.astype(np.float32)
+    index, cell = index_of(x, len(x))
+    assert index.k == 128 and index.cells < index.k**2
+    assert held(index, cell, x, 400) >= 0.9
+
+
+@pytest.mark.parametrize("n", [10**6, 2 * 10**8, 10**9])
+@pytest.mark.parametrize("skew", [False, True])
+def test_shards_are_of_bounded_size(n, skew):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2048, 8)).astype(np.float32)
+    if skew:
+        x[:700] = x[0] + 0.01 * x[:700]
+    index = vectors.Index(x, n, 7)
+    seen = np.bincount(index.cell(x), minlength=index.k**2) * (0.9 * n / len(x))
+    rest = rng.random(index.k**2) ** 4  # most vectors are in no sampled cell
+    count = (seen + 0.1 * n * rest / rest.sum()).astype(np.int64)
+    index.plan(count, 50_000, 5, 0.95, None, index.cell(x[:320]), np.repeat(np.arange(64), 5), 64)
+    large = index.split > 1
+    load = np.bincount(index.shard[~large], weights=count[~large])
+    assert load.max() <= 2 * 50_000 and (count / index.split).max() <= 50_000
+    assert not set(index.shard[~large & (count > 0)]) & {s + i for s, p in zip(index.shard[large], index.split[large]) for i in range(p)}
+
+
+def test_models_may_be_shuffled_to_their_rows(spark):
+    rows = clustered(1, 1500) + clustered(2, 90, "b") + clustered(3, 1, "c")
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    same(search(df, k=4, max_distance=0.9, shard=150, model_bytes=0), brute(rows, 4, 0.9))
+    same(search(df, k=4, recall=1, model_bytes=0), brute(rows, 4))
+
+
+def test_a_shard_with_many_queries_comes_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES", 0.2)
+    rows = clustered(6, 800)
+    same(search(spark.createDataFrame(rows, SCHEMA), k=3, recall=1, shard=100), brute(rows, 3))
+
+
+def test_near_equal_centroids_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    half = rng.normal(0, 1, (10, 4))
+    x = np.concatenate([half[rng.integers(10, size=600)] + rng.normal(0, 1e-6, (600, 4)), rng.normal(0, 0.3, (600, 4))], axis=1) + 50
+    rows = [("a", i, [float(a) for a in v], 0, "x") for i, v in enumerate(x.astype(np.float32))]
+    same(search(spark.createDataFrame(rows, SCHEMA), k=3, max_distance=0.4, shard=100), brute(rows, 3, 0.4))
