@@ -45,11 +45,12 @@ def groups(batch: pa.RecordBatch, width: int) -> Iterator[tuple[tuple, np.ndarra
         begin = end
 
 
-def beside(rows: DataFrame, models: DataFrame, keys: list[str], step: Callable[[], Step], schema: T.StructType, most_bytes: int = MODEL_BYTES) -> DataFrame:
+def beside(rows: DataFrame, models: DataFrame, keys: list[str], step: Callable[[], Step], schema: T.StructType, most_bytes: int = MODEL_BYTES, others: bool = False) -> DataFrame:
     """The rows that step gives for rows whose first columns are keys and whose next column is an id.
 
     models is a written table of keys, _c (a number), _n (the group's rows) and _m (the pickled model), a row for each
-    group. Rows of a group without a model are left out.
+    group. Rows of a group without a model are left out, or with others given to step under the number -1 and None, if
+    such groups are known to be small.
     """
     spark, width = rows.sparkSession, len(keys)
     arrow = to_arrow_schema(schema)
@@ -64,6 +65,8 @@ def beside(rows: DataFrame, models: DataFrame, keys: list[str], step: Callable[[
             for batch in batches:
                 for key, at in groups(batch, width):
                     if key not in shared.value:
+                        if others:
+                            yield from s.feed(-1, None, batch.take(pa.array(at)))
                         continue
                     if key not in loaded:
                         c, m = shared.value[key]
@@ -74,14 +77,16 @@ def beside(rows: DataFrame, models: DataFrame, keys: list[str], step: Callable[[
         return rows.mapInArrow(narrow, schema)
 
     parts = F.ceil(F.col("_n") / GROUP)
-    sized = rows.join(models.select(*keys, parts.alias("_parts")), keys)
-    dealt = sized.select(*rows.columns, F.pmod(F.xxhash64(rows.columns[width], F.lit(21)), "_parts").alias("_salt"))
+    sized = rows.join(models.select(*keys, parts.alias("_parts")), keys, "left" if others else "inner")
+    dealt = sized.select(*rows.columns, F.pmod(F.xxhash64(rows.columns[width], F.lit(21)), F.coalesce("_parts", F.lit(1))).alias("_salt"))
     copies = models.select(*keys, "_c", "_m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_salt"))
 
     def wide(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
-        if left.num_rows and right.num_rows:
-            s, c, m = step(), right.column("_c")[0].as_py(), pickle.loads(right.column("_m")[0].as_py())
+        if left.num_rows and (right.num_rows or others):
+            s, c, m = step(), -1, None
+            if right.num_rows:
+                c, m = right.column("_c")[0].as_py(), pickle.loads(right.column("_m")[0].as_py())
             for batch in left.drop_columns(["_salt"]).to_batches(max_chunksize=1 << 14):
                 out += s.feed(c, m, batch)
             out += s.finish()

@@ -62,3 +62,15 @@ def test_latest_scores(spark):
 def test_doubles_in_order(x):
     assert cutoffs._double(cutoffs._rank(x)) == x
     assert cutoffs._rank(-1e300) < cutoffs._rank(-1.0) < cutoffs._rank(0.0) < cutoffs._rank(1e-320) < cutoffs._rank(7.0)
+
+
+def test_rows_outside_the_brackets_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(cutoffs, "REWRITE", 10)
+    monkeypatch.setattr(cutoffs, "SNAP", 4)
+    monkeypatch.setattr(cutoffs, "SOURCES", 2)
+    rng = random.Random(3)
+    rows = {k: [round(rng.gauss(0, 5), 1) if k != "c" else rng.gauss(0, 1) for _ in range(n)] for k, n in (("a", 900), ("b", 300), ("c", 700), ("d", 1), ("e", 5))}
+    got = run(spark, [(k, v, 0, "") for k, vs in rows.items() for v in vs], [(k, 333, 0) for k in rows])
+    for k, vs in rows.items():
+        want = slow(vs, 333)
+        assert (got[k].cutoff, got[k].n, got[k].n_kept) == (want, len(vs), sum(v >= want for v in vs)), k
