@@ -8,8 +8,11 @@ binary-searched in it.
 A word that occurs in no item can be part of no match, so the array holds only the stretches of `min_words` or more
 words in a row that the items use. That drops no match and makes the array a small fraction of the text.
 
-The items are a stated query set. They reach the tasks in blocks of at most `block_bytes` of text; each block is one
-narrow pass over the corpus without a shuffle of text.
+The items are a stated query set. They reach the tasks in blocks of at most `block_bytes` of text, PASS_BYTES of them in
+one narrow pass over the corpus, without a shuffle of text: a task holds a run of documents and lets one block after
+another meet it.
+
+Words are compared by 64-bit hashes, never by their characters.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 from patchmill.runtime import bounded_batches
 
 MIN_WORDS = 8
+#: Items that meet the corpus in one pass, and how much text a task holds while they do.
+PASS_BYTES = 64 << 20
+HELD_BYTES = 32 << 20
 _WORD = np.zeros(256, bool)
 _WORD[np.frombuffer(b"0123456789_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -176,11 +182,11 @@ def _longest(ids: np.ndarray, sa: np.ndarray, keys: np.ndarray, items: Items, lo
     return best, first, last
 
 
-def search(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def search(data: np.ndarray, offsets: np.ndarray, items: Items, longest: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """One shard against one block of items.
 
-    Gives (text, item, covered words) for each pair with a match, and (item, start in the item, length, text) of the
-    longest match of every test suffix that is the item's longest here, once for each text that holds it.
+    Gives (text, item, covered words) for each pair with a match and, if longest, (item, start in the item, length, text)
+    of the longest match of every test suffix that is the item's longest here, once for each text that holds it.
     """
     none = np.zeros(0, np.int64)
     ids, of = _stretches(*words(data, offsets), items)
@@ -212,6 +218,8 @@ def search(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[list[np
     add = np.where(new, items.min_words, np.minimum(gap, items.min_words))
     begin = np.flatnonzero(new)
     pairs = [text[begin], item[begin], np.add.reduceat(add, begin)]
+    if not longest:
+        return pairs, [none] * 4
     best, first, last = _longest(ids, sa, keys, items, lo, hi)
     # shorter matches of an item are beaten already, so only the longest are given with all their texts
     most = np.zeros(len(items.begin), np.int64)
@@ -258,26 +266,55 @@ def _matches(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text:
     bounded_batches(spark)
     schema = "item_id long, item_words long, start long, length long, doc_id long" if longest else "doc_id long, item_id long, item_words long, covered_words long"
     corpus = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    out = None
-    for ids, texts in _blocks(items, item_id, text, block_bytes):
-        block = spark.sparkContext.broadcast((ids, texts))  # at most block_bytes of text
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            of = Items(*block.value, min_words)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def one_pass(blocks: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, Items] = {}
+
+            def items_of(i: int) -> Items:
+                if i not in made:
+                    if len(made) >= 4:  # a few blocks stay made, more are made again for each run of documents
+                        made.clear()
+                    made[i] = Items(*blocks[i].value, min_words)
+                return made[i]
+
+            def meet(held: list) -> Iterator[pa.RecordBatch]:
+                for i in range(len(blocks)):
+                    of = items_of(i)
+                    for doc, data, offsets in held:
+                        pairs, long = search(data, offsets, of, longest)
+                        if longest:
+                            item, start, length, at = long
+                            cols = [of.item_ids[item], of.size[item], start, length, doc[at]]
+                        else:
+                            at, item, covered = pairs
+                            cols = [doc[at], of.item_ids[item], of.size[item], covered]
+                        if len(cols[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+            held, size = [], 0
             for batch in batches:
                 for row, data, offsets in _shards(batch, 1, shard_bytes):
-                    doc = batch.column(0).slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False)
-                    pairs, long = search(data, offsets, of)
-                    if longest:
-                        item, start, length, at = long
-                        cols = [of.item_ids[item], of.size[item], start, length, doc[at]]
-                    else:
-                        at, item, covered = pairs
-                        cols = [doc[at], of.item_ids[item], of.size[item], covered]
-                    if len(cols[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
-
-        part = corpus.mapInArrow(run, schema)
+                    held.append((batch.column(0).slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False), data, offsets))
+                    size += len(data)
+                if size >= HELD_BYTES:
+                    yield from meet(held)
+                    held, size = [], 0
+            if held:
+                yield from meet(held)
+
+        return corpus.mapInArrow(run, schema)
+
+    out, blocks, size = None, [], 0
+    for ids, texts in _blocks(items, item_id, text, block_bytes):
+        blocks.append(spark.sparkContext.broadcast((ids, texts)))  # at most PASS_BYTES in a pass
+        size += sum(map(len, texts))
+        if size + block_bytes > max(PASS_BYTES, block_bytes):
+            part = one_pass(blocks)
+            out, blocks, size = part if out is None else out.unionAll(part), [], 0
+    if blocks:
+        part = one_pass(blocks)
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], schema) if out is None else out
 

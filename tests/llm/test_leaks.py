@@ -114,3 +114,16 @@ def test_longest_names_the_lowest_document_whatever_follows(spark, ids):
     docs = spark.createDataFrame([(i, " ".join([*w[:10], f])) for i, f in zip(ids, follows)], "doc_id long, text string").coalesce(1)
     items = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
     assert [tuple(r) for r in leaks.longest_matches(docs, items).collect()] == [(5, 12, 0, 10, 3)]
+
+
+@pytest.mark.parametrize("pass_bytes, scans", [(1 << 20, 1), (400, 3)])  # 1,080 characters, a pass ends beyond 300
+def test_blocks_of_items_meet_the_corpus_in_one_pass(spark, monkeypatch, pass_bytes, scans):
+    monkeypatch.setattr(leaks, "PASS_BYTES", pass_bytes)
+    monkeypatch.setattr(leaks, "HELD_BYTES", 50)
+    texts = {i: " ".join(f"w{i}_{j}" for j in range(10)) for i in range(20)}
+    docs = spark.createDataFrame([(i, t + " x") for i, t in texts.items()], "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    got = leaks.leaked_pairs(docs, items, block_bytes=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == scans
+    assert found(got) == {(i, i): 10 for i in texts}
