@@ -122,12 +122,17 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents")).shares()
 
 
+def p8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each record that shares a span its class of equal texts and the number of records it shares one with."""
+    return spans.Spans(table(spark, sf_dir, "documents")).links()
+
+
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents")).spans()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p5_subset, p6_found, p6_longest, p6_clean, p7_mix, p7_shares, p7_records, p7_tokens, p8_found, p8_shared, p8_spans)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p5_subset, p6_found, p6_longest, p6_clean, p7_mix, p7_shares, p7_records, p7_tokens, p8_found, p8_shared, p8_links, p8_spans)}
 
 
 _P4_SQL = """
@@ -171,6 +176,11 @@ _P8_SQL = """
     g AS (SELECT DISTINCT ids FROM m)
     SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM g, unnest(ids) x(a), unnest(ids) y(b) WHERE a < b
 """
+_P8_LINKS = """),
+    e AS (SELECT doc_id_a AS d, doc_id_b AS o FROM p UNION ALL SELECT doc_id_b, doc_id_a FROM p),
+    c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM t)
+    SELECT doc_id, rep, count(*) AS links FROM e JOIN c ON c.doc_id = e.d GROUP BY ALL
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -178,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1_SQL,
         "p6_found": _P6_SQL,
         "p8_found": _P8_SQL,
+        "p8_links": _P8_SQL.replace("SELECT DISTINCT a AS", ", p AS (SELECT DISTINCT a AS") + _P8_LINKS,
         "p4_found": _P4_SQL + "SELECT s.category, s.label, s.sample_id FROM scored s JOIN cut USING (category, label) WHERE score >= cutoff",
         "p4_cutoffs": _P4_SQL + "SELECT category, label, c.keep_permille, c.n, c.cutoff, count(*) AS n_kept FROM scored s JOIN cut c USING (category, label) WHERE score >= cutoff GROUP BY ALL",
     }

@@ -15,6 +15,11 @@ Fixed blocks alone would need every rolling window of the corpus, eight bytes a
 or the index, which grows with the corpus, to be broadcast. The first step is there to avoid that.
 
 Texts that are equal as a whole form one class. Only a class's representative, its lowest id, is searched.
+
+Texts that keep a window in common are compared in one task: each distinct set of texts is a group, cut into cells of
+CELL characters a side, and every text is sent once to each cell that has a pair of it. A window that more than HOT texts
+hold would name all their pairs, mostly for nothing. Around it every run of exactly `least` characters is taken instead,
+and texts with an equal run are known to share a span without being compared.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ LEAST = 400
 SEGMENT = 1 << 18
 #: Windows that more texts than this hold are looked at more closely before their texts are paired.
 HOT = 64
+#: Characters of the texts on either side of a cell, and texts on either side of a block of pairs of one run.
+CELL = 1 << 22
+SIDE = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +72,15 @@ def _least_of(h: np.ndarray, width: int) -> np.ndarray:
 class Roller:
     """Rolling hashes; keeps the tables that all texts of a task share."""
 
+    _made: dict = {}
+
+    @classmethod
+    def of(cls, block: int, least: int) -> Roller:
+        """One for all groups of this process."""
+        if (block, least) not in cls._made:
+            cls._made[block, least] = cls(block, least)
+        return cls._made[block, least]
+
     def __init__(self, block: int, least: int):
         self.block, self.width = block, least - block + 1
         self.char = _mix(np.arange(1, 65537, dtype=np.uint64) * _BASE)
@@ -189,8 +206,14 @@ def shared(a: np.ndarray, b: np.ndarray, ha: np.ndarray, hb: np.ndarray, least:
 
 
 def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    """(a, b), a < b, of the texts d with an equal key, once."""
-    return rows.select(key, F.col("d").alias("a")).join(rows.select(key, F.col("d").alias("b")), key).where("a < b").select("a", "b").distinct()
+    """(a, b), a < b, of the texts d with an equal key, once. The texts of a key are cut into blocks of about SIDE, and
+    each pair of blocks is a key of its own, so that no task makes all pairs of a common key."""
+    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / SIDE).cast("int").alias("_m")).where(F.col("_m") > 1)
+    at = rows.select(key, "d").join(blocks, key, "left").select(key, "d", F.coalesce("_m", F.lit(1)).alias("_m")).withColumn("_i", F.pmod(F.xxhash64("d"), "_m").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    left = at.select(key, F.col("d").alias("a"), "_i", other.alias("_j"))
+    right = at.select(key, F.col("d").alias("b"), F.col("_i").alias("_j"), other.alias("_i"))
+    return left.join(right, [key, "_i", "_j"]).where("a < b").select("a", "b").distinct()
 
 
 class Spans:
@@ -205,14 +228,15 @@ class Spans:
         bounded_batches(docs.sparkSession)
         self.least, self.block = least, block or least // 2
         self._found: tuple | None = None
+        self._again: bool | None = None
         self.texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
         self.prints = written(_fingerprints(docs, doc_id, text, least, self.block))
         ids = self.prints.select("d", "x", "y", "n")
         reps = ids.groupBy("x", "y", "n").agg(F.min("d").alias("rep"), F.max("d").alias("last"))
         self.classes = ids.join(reps.where("rep < last"), ["x", "y", "n"]).select("d", "rep").distinct()
 
-    def _shared_windows(self) -> tuple[DataFrame, DataFrame | None]:
-        """(a, b) pairs of representatives, a < b, that keep an equal window which at most HOT hold; and hot_runs()."""
+    def _windows(self) -> tuple[DataFrame, DataFrame | None]:
+        """(d, k, n) of windows that two or more representatives keep and at most HOT, and _hot_runs() of the others."""
         if self._found is None:
             copies = self.classes.where("d <> rep").select("d")
             own = self.prints.select("d", "k").dropDuplicates(["d"]).join(copies, "d", "left_anti")
@@ -220,15 +244,11 @@ class Spans:
             two = each.groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).where("a < b").select("k", "n")
             at = written(each.join(two, "k"))
             hot = at.where(F.col("n") > HOT).groupBy("d").agg(F.collect_list("k").alias("ks"))
-            self._found = written(_pairs(at.where(F.col("n") <= HOT).select("k", "d"), "k")), None if hot.isEmpty() else self._hot_runs(hot)
+            self._found = at.where(F.col("n") <= HOT), None if hot.isEmpty() else self._hot_runs(hot)
         return self._found
 
     def _hot_runs(self, hot: DataFrame) -> DataFrame:
-        """(d, h, p): hash and place of each run of least characters over a window (in ks) that very many texts hold.
-
-        A run under least characters that stands in very many texts, such as a notice, would name all their pairs for
-        nothing. So around such windows every run of exactly least characters is hashed: only an equal one counts.
-        """
+        """(d, h, p): hash and place of each run of least characters over a window (in ks) that very many texts hold."""
         least, block = self.least, self.block
         rows = self.texts.join(hot, "d").where(F.length("t") >= least).dropDuplicates(["d"]).select("d", "t", "ks")
 
@@ -247,45 +267,105 @@ class Spans:
 
         return written(rows.mapInArrow(run, "d long, h long, p long"))
 
-    def _candidates(self) -> DataFrame:
-        """(a, b): pairs of representatives, a < b, that may share a span. Runs that the same texts share are taken once."""
-        pairs, runs = self._shared_windows()
+    def _hot_groups(self) -> DataFrame | None:
+        """(d, h): the texts that hold an equal run over a very common window, one run for each set of texts. The texts of
+        an h hold the same characters: the run itself is part of the comparison, not only its hash."""
+        runs = self._windows()[1]
         if runs is None:
-            return pairs
-        runs = runs.select("d", "h").distinct()
-        group = runs.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("d")).alias("s1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("s2")).where("n > 1")
+            return None
+        each = runs.groupBy("d", "h").agg(F.min("p").alias("p"))
+        group = each.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("d")).alias("s1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("s2")).where("n > 1")
         one = group.groupBy("n", "s1", "s2").agg(F.min("h").alias("h")).select("h")
-        return pairs.unionByName(_pairs(runs.join(one, "h"), "h")).distinct()
+        of = each.join(one, "h").groupBy("d").agg(F.collect_list(F.struct("h", "p")).alias("hs"))
+        rows = self.texts.join(of, "d").where(F.length("t") >= self.least).dropDuplicates(["d"]).select("d", "t", "hs")
+        least = self.least
 
-    def spans(self) -> DataFrame:
-        """(doc_id_a, start_a, doc_id_b, start_b, length): the maximal exact repeats between representatives."""
-        return self._spans_of(written(self._candidates()))
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for d, t, hs in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(hs), pa.int64()), pa.array([x["h"] for x in hs], pa.int64()), pa.array([t[x["p"] : x["p"] + least].encode("utf-8", "surrogatepass") for x in hs], pa.binary())], names=["d", "h", "r"])
 
-    def _spans_of(self, named: DataFrame) -> DataFrame:
-        wanted = named.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-        texts = written(self.texts.where(F.length("t") >= self.least).join(wanted, "d", "left_semi").dropDuplicates(["d"]))
-        pairs = named.join(texts.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
-        least, block = self.least, self.block
-        names = ["doc_id_a", "start_a", "doc_id_b", "start_b", "length"]
+        return rows.mapInArrow(cut, "d long, h long, r binary").select("d", F.struct("h", "r").alias("h"))
+
+    def _cells(self, windows: DataFrame) -> DataFrame:
+        """(g, i, j, a, b): pairs of texts that keep a common window, a < b, each once, with the cell that compares them."""
+        sizes = self.prints.select("d", "n").dropDuplicates(["d"])
+        sets = windows.select("k", "d").join(sizes, "d").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("v"))  # at most HOT
+        sets = sets.groupBy("v").agg(F.min("k").alias("g"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            roller = Roller(block, least)
             for batch in batches:
-                rows, known, size = [], {}, 0
-                for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), _texts(batch.column(3))):
-                    for d, t in ((a, ta), (b, tb)):
-                        if d not in known:
-                            if size > 4 * SEGMENT:
-                                known, size = {k: known[k] for k in (a, b) if k in known}, 0
-                            codes = _codes(t)
-                            known[d] = codes, roller.all_windows(codes)
-                            size += len(t)
-                    (ca, ha), (cb, hb) = known[a], known[b]
-                    rows += [(a, i, b, j, n) for i, j, n in shared(ca, cb, ha, hb, least, block)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
-
-        return pairs.select("a", "b", "ta", "tb").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+                for v, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    d = np.array([x["d"] for x in v], np.int64)
+                    cell = np.cumsum([x["n"] for x in v]) // CELL
+                    i, j = np.triu_indices(len(d), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), g, np.int64)), pa.array(cell[i].astype(np.int32)), pa.array(cell[j].astype(np.int32)), pa.array(d[i]), pa.array(d[j])], names=list("gijab"))
+
+        pairs = sets.select("v", "g").mapInArrow(run, "g long, i int, j int, a long, b long")
+        return pairs.groupBy("a", "b").agg(F.min(F.struct("g", "i", "j")).alias("c")).select("c.g", "c.i", "c.j", "a", "b")
+
+    def _compared(self, cells: DataFrame) -> DataFrame:
+        """(doc_id_a, start_a, doc_id_b, start_b, length): the maximal exact repeats of the pairs of each cell."""
+        cells = written(cells)
+        needed = cells.select(F.col("g").alias("tg"), F.col("i").alias("ti"), F.col("j").alias("tj"), F.explode(F.array("a", "b")).alias("d")).distinct()
+        texts = self.texts.where(F.length("t") >= self.least).dropDuplicates(["d"]) if self._repeated() else self.texts.where(F.length("t") >= self.least)
+        texts = needed.join(texts, "d").select("tg", "ti", "tj", "d", "t")
+        least, block = self.least, self.block
+        names = ["doc_id_a", "start_a", "doc_id_b", "start_b", "length"]
+        arrow = pa.schema([(n, pa.int64()) for n in names])
+
+        def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+            roller, codes = Roller.of(block, least), {}
+            for chunk in texts.select(["d", "t"]).to_batches():
+                for d, t in zip(chunk.column(0).to_pylist(), _texts(chunk.column(1))):
+                    codes[d] = _codes(t)
+            known: dict[int, np.ndarray] = {}
+            rows, size = [], 0
+            for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+                for d in (a, b):
+                    if d not in known:
+                        if size > 16 * SEGMENT:
+                            known, size = {k: known[k] for k in (a, b) if k in known}, 0
+                        known[d] = roller.all_windows(codes[d])
+                        size += len(codes[d])
+                rows += [(a, i, b, j, n) for i, j, n in shared(codes[a], codes[b], known[a], known[b], least, block)]
+            return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=arrow) if rows else arrow.empty_table()
+
+        return cells.groupBy("g", "i", "j").cogroup(texts.groupBy("tg", "ti", "tj")).applyInArrow(run, ", ".join(f"{n} long" for n in names))
+
+    def _repeated(self) -> bool:
+        """Whether any record comes more than once."""
+        if self._again is None:
+            self._again = not self.prints.groupBy("d").count().where("count > 1").isEmpty()
+        return self._again
+
+    def spans(self) -> DataFrame:
+        """(doc_id_a, start_a, doc_id_b, start_b, length): the maximal exact repeats between representatives."""
+        windows, _ = self._windows()
+        cells, hot = self._cells(windows), self._hot_groups()
+        if hot is not None:
+            # pairs of a common run by blocks: the cell of a pair is the pair of its texts' hashes
+            at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("int")
+            more = _pairs(hot, "h").join(cells.select("a", "b"), ["a", "b"], "left_anti")
+            cells = cells.unionByName(more.select(F.xxhash64(F.floor(at("a") / 64), F.floor(at("b") / 64)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "a", "b"))
+        return self._compared(cells)
+
+    def representative_pairs(self) -> DataFrame:
+        """(a, b): pairs of representatives, a < b, that share a span."""
+        windows, _ = self._windows()
+        found = self._compared(self._cells(windows)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        hot = self._hot_groups()
+        return (found if hot is None else found.unionByName(_pairs(hot, "h"))).distinct()
+
+    def links(self) -> DataFrame:
+        """(doc_id, rep, links): of each record that shares a span, its class of equal texts and how many other records it
+        shares one with."""
+        size = self.classes.groupBy("rep").agg(F.count("*").alias("m")).select(F.col("rep").alias("r"), "m")
+        both = self.representative_pairs()
+        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size, F.col("b") == F.col("r"), "left").groupBy("a").agg(F.sum(F.coalesce("m", F.lit(1))).alias("n"))
+        ids = self.prints.select("d").distinct().join(self.classes, "d", "left").withColumn("rep", F.coalesce("rep", "d"))
+        out = ids.join(both, ids.rep == both.a, "left").join(size, ids.rep == F.col("r"), "left")
+        return out.select(F.col("d").alias("doc_id"), "rep", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(1)) - 1).alias("links")).where("links > 0")
 
     def members(self) -> DataFrame:
         """(doc_id, rep) of the records in a class of two or more equal texts."""
@@ -293,19 +373,19 @@ class Spans:
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), smaller id first: all pairs of records that share a span, equal texts included."""
-        reps = self.spans().select("doc_id_a", "doc_id_b").distinct()
+        reps = self.representative_pairs().toDF("doc_id_a", "doc_id_b")
         of = self.classes.select(F.col("rep"), F.col("d"))
         a = reps.join(of.withColumnRenamed("d", "a"), reps.doc_id_a == of.rep, "left").select(F.coalesce("a", "doc_id_a").alias("a"), "doc_id_b")
         b = a.join(of.withColumnRenamed("d", "b"), a.doc_id_b == of.rep, "left").select("a", F.coalesce("b", "doc_id_b").alias("b"))
-        equal = of.select("rep", F.col("d").alias("a")).join(of.select("rep", F.col("d").alias("b")), "rep").where("a < b").select("a", "b")
+        equal = _pairs(of, "rep")
         return b.unionByName(equal).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
     def shares(self) -> DataFrame:
         """(doc_id, n_chars, shared_chars, shared_share) of each record with a span that stands elsewhere too.
 
         Where very many texts share a run no pairs are made: it is enough that a run of least characters is not alone."""
-        named, runs = self._shared_windows()
-        s = self._spans_of(named)
+        windows, runs = self._windows()
+        s = self._compared(self._cells(windows))
         both = s.select(F.col("doc_id_a").alias("d"), F.col("start_a").alias("s"), "length").unionByName(s.select(F.col("doc_id_b").alias("d"), F.col("start_b").alias("s"), "length"))
         if runs is not None:
             known = runs.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("h")
