@@ -54,7 +54,7 @@ def _out(queries: DataFrame, keys: list[str], query_id: str) -> T.StructType:
     return T.StructType([*(queries.schema[c] for c in keys), queries.schema[query_id], T.StructField("neighbour", T.LongType()), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 
 
-def knn_join(queries: DataFrame, bank: DataFrame, *, query_id: str, bank_id: str, vector: str, k: int = 1, keys: list[str] = [], normalize: bool = False, exclude_self: bool = False) -> DataFrame:  # noqa: B006
+def knn_join(queries: DataFrame, bank: DataFrame, *, query_id: str, bank_id: str, vector: str, k: int = 1, keys: list[str] = [], normalize: bool = False, exclude_self: bool = False, block: int | None = None) -> DataFrame:  # noqa: B006
     """(keys, query_id, neighbour, distance, rank): the k nearest bank vectors of each query within its keys.
 
     Euclidean, ties to the lower bank id. Rows with a null id, key or vector take no part. A query whose keys have no bank
@@ -62,7 +62,7 @@ def knn_join(queries: DataFrame, bank: DataFrame, *, query_id: str, bank_id: str
 
     The bank is checked first: up to BROADCAST_BYTES it goes to every task and queries pass as they lie, without a
     shuffle. Beyond, bank and queries meet block by block: each block of BLOCK_ROWS bank vectors gives every query its k
-    best, and these are merged.
+    best, and these are merged. block sets how many queries meet the bank at once.
     """
     spark = queries.sparkSession
     q = queries.select(*keys, query_id, F.col(vector).alias("_v")).dropna()
@@ -79,12 +79,12 @@ def knn_join(queries: DataFrame, bank: DataFrame, *, query_id: str, bank_id: str
             g = g.sort_values("_b")
             x = np.stack(g["_v"].to_numpy()).astype(float)
             held[key if isinstance(key, tuple) else (key,)] = _unit(x) if normalize else x, g["_b"].to_numpy()
-        parts = q.mapInArrow(_scan(spark.sparkContext.broadcast(held), keys, more, normalize, exclude_self, k, to_arrow_schema(schema)), schema)
+        parts = q.mapInArrow(_scan(spark.sparkContext.broadcast(held), keys, more, normalize, exclude_self, k, to_arrow_schema(schema), block), schema)
         return parts
-    return _block_join(q, b, query_id, keys, k, more, normalize, exclude_self, schema, rows)
+    return _block_join(q, b, query_id, keys, k, more, normalize, exclude_self, schema, block)
 
 
-def _scan(held, keys: list[str], more: int, normalize: bool, exclude_self: bool, k: int, arrow: pa.Schema):
+def _scan(held, keys: list[str], more: int, normalize: bool, exclude_self: bool, k: int, arrow: pa.Schema, block: int | None):
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def _scan(held, keys: list[str], more: int, normalize: bool, exclude_self: bool,
                 if key not in held.value:
                     continue
                 bank, ids = held.value[key]
-                step = query_block(len(bank))
+                step = query_block(len(bank), block)
                 for at in range(0, len(mine), step):
                     part = batch.take(pa.array(mine[at : at + step]))
                     x = _matrix(part.column(width + 1))
@@ -121,15 +121,18 @@ def _answer(head: list[pa.Array], x: np.ndarray, bank: np.ndarray, ids: np.ndarr
     return pa.RecordBatch.from_arrays([*(c.take(take) for c in head), pa.array(near[keep], pa.int64()), pa.array(d[keep]), pa.array(rank[keep].astype(np.int32))], schema=arrow)
 
 
-def _block_join(q: DataFrame, b: DataFrame, query_id: str, keys: list[str], k: int, more: int, normalize: bool, exclude_self: bool, schema: T.StructType, rows: int) -> DataFrame:
+def _block_join(q: DataFrame, b: DataFrame, query_id: str, keys: list[str], k: int, more: int, normalize: bool, exclude_self: bool, schema: T.StructType, block: int | None) -> DataFrame:
     arrow = to_arrow_schema(schema)
     width = len(keys)
-    n = -(-rows // BLOCK_ROWS)
-    blocks = b.withColumn("_block", F.pmod(F.xxhash64("_b"), F.lit(n)).cast("int"))
-    m = -(-q.count() // BLOCK_ROWS) or 1
-    # a query goes to each block of the bank, and queries are cut into blocks too, so each task gets one block of either
-    many = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_salt", F.pmod(F.xxhash64(query_id), F.lit(m)).cast("int"))
-    blocks = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    # each key has as many blocks as its own rows need. A query goes to each block of its key's bank, and queries are cut
+    # into blocks too, so each task gets one block of either
+    need = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
+    by_key = keys or [F.lit(0).alias("_all")]
+    nb, nq = b.groupBy(*by_key).agg(need.alias("_nb")), q.groupBy(*by_key).agg(need.alias("_nq"))
+    sizes = nb.join(nq, keys or ["_all"]).select(*keys, "_nb", "_nq")
+    with_sizes = lambda df: df.join(sizes, keys) if keys else df.crossJoin(F.broadcast(sizes))  # one row
+    many = with_sizes(q).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).withColumn("_salt", F.pmod(F.xxhash64(query_id), "_nq").cast("int")).drop("_nb", "_nq")
+    blocks = with_sizes(b).withColumn("_block", F.pmod(F.xxhash64("_b"), "_nb").cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nb", "_nq")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -140,13 +143,14 @@ def _block_join(q: DataFrame, b: DataFrame, query_id: str, keys: list[str], k: i
             x, y = _unit(x), _unit(y)
         head = [left.column(c).combine_chunks() for c in [*keys, query_id]]
         ids = right.column("_b").to_numpy()
-        out, step = [], query_block(len(y))
+        out, step = [], query_block(len(y), block)
         for at in range(0, len(x), step):
             out.append(_answer([h.slice(at, step) for h in head], x[at : at + step], y, ids, more, exclude_self, k, arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
-    by = [*keys, "_block", "_salt"]
-    some = many.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(run, schema)
+    blocks = blocks.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], F.col("_block").alias("_bb"), F.col("_salt").alias("_bs"), "_b", "_v")
+    theirs = blocks.groupBy(*[f"_g{i}" for i in range(len(keys))], "_bb", "_bs")
+    some = many.groupBy(*keys, "_block", "_salt").cogroup(theirs).applyInArrow(run, schema)
     best = F.row_number().over(Window.partitionBy(*keys, query_id).orderBy("distance", "neighbour"))
     return some.withColumn("rank", best).where(F.col("rank") <= k).select(*keys, query_id, "neighbour", "distance", "rank")
 

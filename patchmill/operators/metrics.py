@@ -38,8 +38,9 @@ def anomaly_threshold(scores: DataFrame, keys: list[str], score: str, percentile
     return exact_percentile(scores, keys, score, percentile / 100).select(*keys, "n", (F.col("value") * factor).alias("threshold"))
 
 
-def score_counts(pixels: DataFrame, keys: list[str], score: str, truth: Column | str) -> DataFrame:
-    """(keys, score, pos, neg, tp, fp): positives and negatives of each score, and of it and all higher ones.
+def score_counts(pixels: DataFrame, keys: list[str], score: str, truth: Column | str, bounded: bool = False) -> DataFrame:
+    """(keys, score, pos, neg, tp, fp, all_pos, all_neg): positives and negatives of each score, of it and all higher ones,
+    and of the group. bounded tells that no group has more rows than an image has pixels, so that one sort of it will do.
 
     Scores of half-precision maps have at most 65,536 values, so this is small whatever the number of pixels. Nulls and
     NaN scores are left out; a null truth counts as negative.
@@ -47,7 +48,12 @@ def score_counts(pixels: DataFrame, keys: list[str], score: str, truth: Column |
     is_true = F.coalesce(F.expr(truth) if isinstance(truth, str) else truth, F.lit(False))
     rows = pixels.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     each = rows.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count_if(is_true).alias("pos"), F.count_if(~is_true).alias("neg"))
-    return running_sums(each, keys, "score", {"tp": "pos", "fp": "neg"})
+    if bounded:
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        ends = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return each.select("*", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"), F.sum("pos").over(ends).alias("all_pos"), F.sum("neg").over(ends).alias("all_neg"))
+    return running_sums(each, keys, "score", {"tp": "pos", "fp": "neg"}, {"all_pos": "pos", "all_neg": "neg"})
 
 
 def partial_auc(pixels: DataFrame, keys: list[str], score: str, truth: Column | str, max_fpr: float = 0.05) -> DataFrame:
@@ -58,8 +64,7 @@ def partial_auc(pixels: DataFrame, keys: list[str], score: str, truth: Column |
     if not 0 < max_fpr <= 1:
         raise ValueError("max_fpr must be above 0 and at most 1")
     pixels, keys = grouped(pixels, keys)
-    at = score_counts(pixels, keys, score, truth)
-    at = at.join(at.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")), keys)
+    at = score_counts(pixels, keys, score, truth).withColumnsRenamed({"all_pos": "_p", "all_neg": "_n"})
     m = F.lit(float(max_fpr))
     x1, y1 = F.col("fp") / F.col("_n"), F.col("tp") / F.col("_p")
     x0, y0 = (F.col("fp") - F.col("neg")) / F.col("_n"), (F.col("tp") - F.col("pos")) / F.col("_p")
@@ -72,12 +77,11 @@ def partial_auc(pixels: DataFrame, keys: list[str], score: str, truth: Column |
     return out.select(*keys, "positives", "negatives", auc.alias("auc")).drop("_all")
 
 
-def best_f1(pixels: DataFrame, keys: list[str], score: str, truth: Column | str) -> DataFrame:
-    """(keys, best_f1): the highest F1 over all thresholds; 0 without positives."""
+def best_f1(pixels: DataFrame, keys: list[str], score: str, truth: Column | str, bounded: bool = False) -> DataFrame:
+    """(keys, best_f1): the highest F1 over all thresholds; 0 without positives. bounded as for score_counts()."""
     pixels, keys = grouped(pixels, keys)
-    at = score_counts(pixels, keys, score, truth)
-    both = at.join(at.groupBy(*keys).agg(F.sum("pos").alias("_p")), keys)
-    return both.groupBy(*keys).agg(F.coalesce(F.max(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("_p"))), F.lit(0.0)).alias("best_f1")).drop("_all")
+    at = score_counts(pixels, keys, score, truth, bounded)
+    return at.groupBy(*keys).agg(F.coalesce(F.max(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all_pos"))), F.lit(0.0)).alias("best_f1")).drop("_all")
 
 
 def f1(pixels: DataFrame, keys: list[str], flag: Column | str, truth: Column | str) -> DataFrame:

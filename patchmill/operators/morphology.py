@@ -7,9 +7,10 @@ Structuring elements are lists of (dy, dx); out(p) looks at in(p + d).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,20 +156,29 @@ def close_line_pixels(pixels: DataFrame, keys: list[str], by: Offsets, height: i
     return pixels.select(*keys, "y", "x").unionByName(back).distinct()
 
 
-def _to_map(pdf: pd.DataFrame, height: int, width: int, value: str | None) -> np.ndarray:
-    out = np.zeros((height, width)) if value else np.zeros((height, width), bool)
-    out[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[value].to_numpy() if value else True
-    return out
-
-
 def _maps(pixels: DataFrame, keys: list[str], height: int, width: int, value: str | None, work) -> DataFrame:
-    out = T.StructType([*(pixels.schema[c] for c in keys), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = np.nonzero(work(_to_map(pdf, height, width, value)))
-        return pd.DataFrame({k: pdf[k].iat[0] for k in keys} | {"y": y.astype(np.int32), "x": x.astype(np.int32)})
-
-    return pixels.groupBy(*keys).applyInPandas(run, out)
+    """(keys, y, x) where work() on each whole map says so. A map, which height x width bounds, is one row with its
+    places as an array, so a batch holds many maps."""
+    place = (F.col("y") * width + F.col("x")).cast("int")
+    rows = pixels.groupBy(*keys).agg(F.collect_list(F.struct(place.alias("p"), F.col(value).cast("double").alias("v")) if value else place).alias("_at"))
+    rows = rows.select(*keys, "_at.p", "_at.v") if value else rows.select(*keys, F.col("_at").alias("p"))
+    out = T.StructType([*(pixels.schema[c] for c in keys), T.StructField("_p", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(keys))
+            ends, places = at.offsets.to_numpy(), at.values.to_numpy(zero_copy_only=False)
+            values = batch.column(len(keys) + 1).values.to_numpy(zero_copy_only=False) if value else None
+            found = []
+            for a, b in zip(ends[:-1], ends[1:]):
+                m = np.zeros(height * width) if value else np.zeros(height * width, bool)
+                m[places[a:b]] = values[a:b] if value else True
+                found.append(np.flatnonzero(work(m.reshape(height, width))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], names=out.names)
+
+    each = rows.mapInArrow(run, out).select(*keys, F.explode("_p").alias("_p"))
+    return each.select(*keys, F.floor(F.col("_p") / width).cast("int").alias("y"), (F.col("_p") % width).alias("x"))
 
 
 def fill_holes_pixels(pixels: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

@@ -13,8 +13,9 @@ def grouped(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, str]) -> DataFrame:
-    """df with, for each name in values, the sum of that column over the rows of higher or equal `order` in the group.
+def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, str], totals: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """df with, for each name in values, the sum of that column over the rows of higher or equal `order` in the group, and
+    for each name in totals the column's sum over the group.
 
     Rows must be unique in keys and order. Ranges of order hold about as many rows each: their bounds are approximate
     percentiles. A range's sums come first, and within a range rows are summed on their own.
@@ -26,7 +27,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, s
     rows = df.join(bounds, keys).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(order)))).drop("_bounds")
     above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*keys, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in values.items()])
-    sums = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{n}").over(above), F.lit(0)).alias(f"_b_{n}") for n in values])
+    sums = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in (values | totals).items()])
+    sums = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{n}").over(above), F.lit(0)).alias(f"_b_{n}") for n in values], *[F.sum(f"_s_{n}").over(Window.partitionBy(*keys)).alias(n) for n in totals])
     out = rows.select("*", *[F.sum(c).over(within).alias(f"_w_{n}") for n, c in values.items()]).join(sums, [*keys, "_range"])
-    return out.select(*columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in values])
+    return out.select(*columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in values], *totals)

@@ -12,6 +12,7 @@ from patchmill.functions.settings import CATEGORIES, EXPECTED_COUNTS, SUBMISSION
 VIOLATION = "rank int, rule string, category string, split string, detail string"
 #: In the order in which they are reported.
 RULES = ["missing_folder", "tiff_count", "png_count", "tiff_name", "tiff_suffix", "tiff_index", "png_name", "png_suffix", "png_index", "tiff_shape", "tiff_type", "png_shape", "png_values"]
+# Fixed value: the pattern of map names.
 NAME = r"^(\d{3})_(regular|mixed)$"
 
 
@@ -51,30 +52,40 @@ def violations(files: DataFrame, wanted: DataFrame) -> DataFrame:
     are 0 or 255). wanted: category, split, expected. A split in which a kind has no file at all counts as missing.
     """
     keys = ["category", "split"]
-    rank = {r: i for i, r in enumerate(RULES)}
+    rank = F.create_map(*[v for i, r in enumerate(RULES) for v in (F.lit(r), F.lit(i))])
     rows = parsed_names(files.join(wanted.select(*keys), keys, "left_semi"))
-    counts = rows.groupBy(*keys).agg(F.count_if(F.col("kind") == "tiff").alias("tiff"), F.count_if(F.col("kind") == "png").alias("png"))
-    counted = wanted.join(counts, keys, "left").na.fill(0, ["tiff", "png"])
-
-    def say(df: DataFrame, rule: str, detail) -> DataFrame:
-        return df.select(F.lit(rank[rule]).alias("rank"), F.lit(rule).alias("rule"), *keys, detail.alias("detail"))
-
-    told = [say(counted.where("expected > 0 and (tiff = 0 or png = 0)"), "missing_folder", F.when(F.col("tiff") == 0, F.lit("anomaly_images")).otherwise("anomaly_images_thresholded"))]
-    for kind in ("tiff", "png"):
-        told.append(say(counted.where(F.col(kind) != F.col("expected")), f"{kind}_count", F.concat(F.col(kind), F.lit(" of "), F.col("expected"))))
-        own = rows.where(F.col("kind") == kind)
-        told.append(say(own.where("index is null"), f"{kind}_name", F.col("name")))
-        suffix = F.when(F.col("split") == "test_private", "regular").otherwise("mixed")
-        told.append(say(own.where(F.col("suffix") != suffix), f"{kind}_suffix", F.col("name")))
-        cover = index_coverage(own, wanted, keys)
-        told.append(say(cover, f"{kind}_index", F.concat(F.lit("missing "), F.to_json("missing"), F.lit(" extra "), F.to_json("extra"))))
-        told.append(say(own.where("ndim is null or ndim <> 2"), f"{kind}_shape", F.col("name")))
-    told.append(say(rows.where("kind = 'tiff' and ndim = 2 and coalesce(dtype, '') <> 'float16'"), "tiff_type", F.concat("name", F.lit(" "), F.coalesce("dtype", F.lit("unknown")))))
-    told.append(say(rows.where("kind = 'png' and ndim = 2 and not coalesce(binary_values, false)"), "png_values", F.col("name")))
-    out = told[0]
-    for t in told[1:]:
-        out = out.unionByName(t)
-    return out
+
+    def say(cond, rule, detail):
+        return F.when(cond, F.struct(rule.alias("rule"), detail.alias("detail")))
+
+    def told(df: DataFrame, *said) -> DataFrame:
+        each = df.select(*keys, F.explode(F.array_compact(F.array(*said))).alias("_s"))
+        return each.select(F.element_at(rank, F.col("_s.rule")).alias("rank"), F.col("_s.rule").alias("rule"), *keys, F.col("_s.detail").alias("detail"))
+
+    # what single files show
+    kind, two = F.col("kind"), F.coalesce(F.col("ndim") == 2, F.lit(False))
+    of = lambda what: F.concat(kind, F.lit(what))
+    suffix = F.when(F.col("split") == "test_private", "regular").otherwise("mixed")
+    single = told(
+        rows.where(kind.isin("tiff", "png")),
+        say(F.col("index").isNull(), of("_name"), F.col("name")),
+        say(F.col("suffix") != suffix, of("_suffix"), F.col("name")),
+        say(~two, of("_shape"), F.col("name")),
+        say((kind == "tiff") & two & (F.coalesce("dtype", F.lit("")) != "float16"), F.lit("tiff_type"), F.concat("name", F.lit(" "), F.coalesce("dtype", F.lit("unknown")))),
+        say((kind == "png") & two & ~F.coalesce("binary_values", F.lit(False)), F.lit("png_values"), F.col("name")),
+    )
+    # what a split shows: numbers of files, and indices, of which the name pattern allows a thousand
+    counts = rows.groupBy(*keys).agg(*[f for k in ("tiff", "png") for f in (F.count_if(kind == k).alias(k), F.collect_set(F.when(kind == k, F.col("index"))).alias(f"_{k}"))])
+    none = F.array().cast("array<int>")
+    counted = wanted.join(counts, keys, "left").na.fill(0, ["tiff", "png"]).withColumn("_want", F.when(F.col("expected") > 0, F.sequence(F.lit(0), F.col("expected") - 1)).otherwise(none))
+    said = [say((F.col("expected") > 0) & ((F.col("tiff") == 0) | (F.col("png") == 0)), F.lit("missing_folder"), F.when(F.col("tiff") == 0, F.lit("anomaly_images")).otherwise("anomaly_images_thresholded"))]
+    five = lambda a: F.to_json(F.slice(F.array_sort(a), 1, 5))
+    for k in ("tiff", "png"):
+        have = F.coalesce(f"_{k}", none)
+        lack, more = F.array_except("_want", have), F.array_except(have, F.col("_want"))
+        said.append(say(F.col(k) != F.col("expected"), F.lit(f"{k}_count"), F.concat(F.col(k), F.lit(" of "), F.col("expected"))))
+        said.append(say((F.size(lack) > 0) | (F.size(more) > 0), F.lit(f"{k}_index"), F.concat(F.lit("missing "), five(lack), F.lit(" extra "), five(more))))
+    return single.unionByName(told(counted, *said))
 
 
 def check(found: DataFrame) -> None:

@@ -40,6 +40,18 @@ _MAPS = """
     cross5 AS (SELECT * FROM (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)) t(dy, dx)),
     line3 AS (SELECT * FROM (VALUES (0, -1), (0, 0), (0, 1)) t(dy, dx))
 """
+#: Distances to the k nearest in the same subset (w), and from them the rows that stay (kept).
+_NEAR = """        x AS (SELECT q.category, q.layer, q.part, q.share, q.id, q.u, q.late, len(list_filter(range({k} + 1), lambda c: q.u < 1.0::DOUBLE / (c + 1))) AS need, list_distance(q.e, b.e) AS dist,
+                     row_number() OVER (PARTITION BY q.category, q.layer, q.id ORDER BY list_distance(q.e, b.e), b.id) AS k
+              FROM v q JOIN v b ON q.category = b.category AND q.layer = b.layer AND q.part = b.part),
+        w AS (SELECT category, layer, part, share, id, u, late, sum(dist) AS total, count(*) AS seen, max(dist) FILTER (k = need) AS d
+              FROM x WHERE k <= {k} GROUP BY ALL),"""
+_THIN = """        s AS (SELECT category, layer, part, share, count(*) AS m, sum(total) / sum(seen) / 10 AS r0 FROM w GROUP BY ALL),
+        g AS (SELECT w.*, m, CASE WHEN r0 > 0 AND d = 0 THEN 0 WHEN r0 > 0 THEN list_min(list_filter(range(greatest(0, floor(ln(d / r0) / ln(1.1))::INT - 1), 400), lambda j: d < r0 * pow(1.1, j))) END AS j FROM w JOIN s USING (category, layer, part)),
+        h AS (SELECT category, layer, part, m, share, j, count(*) OVER (PARTITION BY category, layer, part ORDER BY j) AS gone FROM g WHERE j IS NOT NULL),
+        e AS (SELECT category, layer, part, min(j) AS stop FROM h WHERE m - gone <= share GROUP BY ALL),
+        f AS (SELECT g.*, CASE WHEN m <= share THEN 0 ELSE stop END AS stop, row_number() OVER (PARTITION BY category, layer, part ORDER BY u, id) AS least FROM g LEFT JOIN e USING (category, layer, part)),
+        kept AS (SELECT category, layer, id, late, CASE WHEN stop IS NULL THEN least <= share ELSE j IS NULL OR j > stop END AS stays FROM f)"""
 _CATEGORIES = "can|fabric|fruit_jelly|rice|sheet_metal|vial|wallplugs|walnuts"
 _WHERE = f"'^(.*?/)?({_CATEGORIES})/(train|validation|test_public|test_private|test_private_mixed)/(.*)$'"
 
@@ -102,18 +114,19 @@ SQL: dict[str, str] = {
     "score_table": f"""
         WITH {_EVENTS}, {_AUC}, a AS (SELECT category AS "Category", auc AS "AU", f1 AS "F1" FROM auc JOIN fixed USING (category))
         SELECT "Category", round("AU", 9) AS "AU", round("F1", 9) AS "F1" FROM a UNION ALL SELECT 'mean', round(avg("AU"), 9), round(avg("F1"), 9) FROM a""",
-    "density_subsample": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, ((vec_id * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS u FROM embeddings),
-        d AS (SELECT q.vec_id, q.u, list_distance(q.e, b.e) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, b.e), b.vec_id) AS k FROM v q, v b),
-        n AS (SELECT * FROM d WHERE k <= 100),
-        r AS (SELECT j, (SELECT avg(dist) / 10 FROM n) * pow(1.1, j) AS r FROM range(400) t(j)),
-        c AS (SELECT j, vec_id, u, count(*) FILTER (dist < r) + 1 AS factor FROM n, r GROUP BY ALL),
-        kept AS (SELECT j, vec_id FROM c WHERE u < 1.0 / factor),
-        counted AS (SELECT r.j, count(vec_id) AS k FROM r LEFT JOIN kept USING (j) GROUP BY 1)
-        SELECT vec_id FROM kept WHERE j = (SELECT min(j) FROM counted WHERE k <= 100)""",
-    "density_subsample_filled": """
-        WITH v AS (SELECT DISTINCT lower(trim(category)) AS category, layer, proto_id FROM prototype_embeddings WHERE len(embedding) = 32 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 32)
-        SELECT category, layer, least(count(*), 40) AS n FROM v GROUP BY ALL""",
+    "density_subsample": f"""
+        WITH v AS (SELECT 0 AS category, 0 AS layer, 0 AS part, 100 AS share, vec_id AS id, 0 AS late, embedding::DOUBLE[] AS e, ((vec_id * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS u FROM embeddings),
+        {_NEAR.format(k=100)}{_THIN}
+        SELECT id AS vec_id FROM kept WHERE stays""",
+    "density_subsample_filled": f"""
+        WITH p AS (SELECT DISTINCT ON (proto_id) lower(trim(category)) AS category, layer, proto_id AS id, embedding::DOUBLE[] AS e FROM prototype_embeddings WHERE len(embedding) = 32 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 32),
+        c AS (SELECT category, layer, count(*) AS n, least(4, ceil(count(*) / 5))::BIGINT AS parts FROM p GROUP BY ALL),
+        v AS (SELECT p.*, id % parts AS part, 40 // parts AS share, ((id * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS u, (((id * 31 + 7) * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS late
+              FROM p JOIN c USING (category, layer) WHERE n > 40),
+        {_NEAR.format(k=5)}{_THIN},
+        more AS (SELECT *, row_number() OVER (PARTITION BY category, layer ORDER BY late, id) AS r FROM kept WHERE NOT stays), have AS (SELECT category, layer, count(*) FILTER (stays) AS n FROM kept GROUP BY ALL)
+        SELECT category, layer, id AS proto_id FROM kept WHERE stays UNION ALL SELECT category, layer, id FROM more JOIN have USING (category, layer) WHERE r <= 40 - n
+        UNION ALL SELECT category, layer, id FROM p JOIN c USING (category, layer) WHERE c.n <= 40""",
     "tile_plan": """
         WITH s AS (SELECT DISTINCT p_size * 48 + 560 AS size FROM part), d AS (SELECT size, size // 16 AS d FROM s WHERE size >= 640),
         n AS (SELECT *, ceil((d - 40) / 24)::BIGINT + 1 AS n_tiles FROM d),

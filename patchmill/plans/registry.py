@@ -169,11 +169,12 @@ def density_subsample(spark, sf_dir):
 
 
 def density_subsample_filled(spark, sf_dir):
-    """The whole thinning, with many subsets and filling up: the target in each group, whatever its density."""
+    """The whole thinning, with several subsets and filling up: the rows that stay in each category and layer."""
     rows = table(spark, sf_dir, "prototype_embeddings").select(_clean("category"), "layer", "proto_id", "embedding").where("size(embedding) = 32").dropDuplicates(["proto_id"])
     finite = rows.where("forall(embedding, v -> v is not null and not isnan(v) and abs(v) < float('infinity'))")
-    kept = thinning.thin(finite, ["category", "layer"], bank_id="proto_id", vector="embedding", target=40, subsets=4, neighbours=5)
-    return kept.groupBy("category", "layer").agg(F.count("*").alias("n"))
+    late = arrays.lcg_uniform(F.col("proto_id") * 31 + 7)
+    kept = thinning.thin(finite, ["category", "layer"], bank_id="proto_id", vector="embedding", target=40, subsets=4, neighbours=5, chance=arrays.lcg_uniform("proto_id"), part=F.col("proto_id"), order=late)
+    return kept.select("category", "layer", "proto_id")
 
 
 def tile_plan(spark, sf_dir):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from patchmill.functions import resize
 from patchmill.operators import knn, metrics, morphology, thinning, tiling
@@ -80,6 +81,28 @@ def test_thinning():
     assert thinning.keep_by_density(d, u, 0).sum() == 0
 
 
+def test_large_subsets_are_thinned_by_the_same_rule(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, ["a", "b"][i % 2], [float(v) for v in rng.normal(0, 1 + i % 5, 3)]) for i in range(400)], "id long, g string, v array<double>")
+    kw = dict(bank_id="id", vector="v", target=60, subsets=3, neighbours=12)
+    one = {r.id for r in thinning.thin(df, ["g"], **kw).collect()}
+    monkeypatch.setattr(thinning, "SUBSET_ROWS", 20)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 30)
+    assert len(one) == 120 and {r.id for r in thinning.thin(df, ["g"], **kw).collect()} == one
+
+
+def test_thinning_at_the_last_step(spark, monkeypatch):
+    """Where no radius of MAX_STEPS leaves so few, the rows of least chance number stay."""
+    monkeypatch.setattr(thinning, "MAX_STEPS", 3)
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(50)] + [(100 + i, [7.0]) for i in range(3)], "id long, v array<double>")
+    u = (F.col("id") % 53) / 60.0
+    got = {r.id for r in thinning.thin(df, [], bank_id="id", vector="v", target=5, subsets=1, neighbours=4, chance=u, fill=False).collect()}
+    assert got == {0, 1, 2, 3, 4}
+    same = df.withColumn("v", F.array(F.lit(1.0)))
+    assert thinning.thin(same, [], bank_id="id", vector="v", target=5, subsets=1, neighbours=4, fill=False).count() == 5
+
+
 def test_thin_reaches_the_target(spark):
     rng = np.random.default_rng(3)
     rows = [("big", i, rng.normal(size=4).tolist()) for i in range(600)] + [("small", i, [1.0] * 4) for i in range(30)] + [("same", i, [1.0] * 4) for i in range(90)]
