@@ -56,7 +56,7 @@ def beside(rows: DataFrame, models: DataFrame, keys: list[str], step: Callable[[
     arrow = to_arrow_schema(schema)
     total = models.agg(F.sum(F.length("_m"))).first()[0] or 0
     if total <= most_bytes:
-        held = {tuple(r[k] for k in keys): (r["_c"], bytes(r["_m"])) for r in models.collect()}
+        held = {tuple(r[k] for k in keys): (r["_c"], bytes(r["_m"])) for r in models.select(*keys, "_c", "_m").collect()}
         shared = spark.sparkContext.broadcast(held)  # at most most_bytes
 
         def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

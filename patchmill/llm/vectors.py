@@ -81,7 +81,7 @@ class Index:
             if len(c) > 1:
                 axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0]
                 self.books[i] = c[np.argsort(c @ axis, kind="stable")]
-        self.sample, self.probe = sample, sample[:PROBES]
+        self.probe = sample[:PROBES]
         self.probe_ids = np.arange(len(self.probe)) if ids is None else ids[:PROBES]
         self.cells = k * k
         self.count = self.split = self.shard = self.copies = None
@@ -118,10 +118,10 @@ class Index:
         d1, d2 = self.distances(x)
         return (d1.argmin(1) * self.k + d2.argmin(1)).astype(np.int32)
 
-    def plan(self, count: np.ndarray, shard: int, k: int, recall: float, max_distance: float | None, near: np.ndarray, near_of: np.ndarray, cells: int | None = None) -> None:
+    def plan(self, count: np.ndarray, shard: int, k: int, recall: float, max_distance: float | None, near: np.ndarray, near_of: np.ndarray, sample: np.ndarray, cells: int | None = None) -> None:
         """Shards from the number of entries of every cell; the cells to visit from those that hold the probes' neighbours.
 
-        near and near_of: the cell of each neighbour of a probe, and which probe.
+        near and near_of: the cell of each neighbour of a probe, and which probe; sample: vectors that stand for the queries.
         """
         self.count = count
         large = count > shard
@@ -139,13 +139,13 @@ class Index:
             need = np.sort(before)[max(0, int(np.ceil(recall * len(before))) - 1)] + 1 if len(before) else 1
             self.cells = int(min(self.cells, max(need, 16)))
         # queries by shard, from the sample
-        seen = self.visit(self.sample, max_distance)[1]
+        seen = self.visit(sample, max_distance)[1]
         shards = int((self.shard + self.split).max())
         named = np.bincount(self.shard[seen], minlength=shards)
         for cell in np.flatnonzero(large):  # its queries go to each of its shards
             named[self.shard[cell] : self.shard[cell] + self.split[cell]] = (seen == cell).sum()
-        self.copies = np.maximum(1, np.ceil(named * (self.n * self.asked / len(self.sample)) / (QUERIES * shard))).astype(np.int32)
-        self.sample = self.probe = self.probe_ids = None
+        self.copies = np.maximum(1, np.ceil(named * (self.n * self.asked / len(sample)) / (QUERIES * shard))).astype(np.int32)
+        self.probe = self.probe_ids = None
 
     def visit(self, x: np.ndarray, max_distance: float | None) -> tuple[np.ndarray, np.ndarray]:
         """(query, cell) of the cells with entries that each query visits."""
@@ -378,14 +378,14 @@ def similar(vectors: DataFrame, keys: list[str], *, vec_id: str, vector: str, di
     # codebooks from a sample: the share of ids whose hash is low enough
     low = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(sample << 30) / F.col("_n")
     some = rows.join(sizes, own).where(low)
-    codes = T.StructType([*named, T.StructField("_n", T.LongType()), T.StructField("_m", T.BinaryType())])
+    codes = T.StructType([*named, T.StructField("_n", T.LongType()), T.StructField("_m", T.BinaryType()), T.StructField("_sample", T.BinaryType())])
 
     def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["_v"].to_numpy()).astype(np.float32)
         ids = pdf["_id"].to_numpy()
         order = np.lexsort((ids, _part(ids, np.full(len(ids), 1 << 30))))  # by a hash, so that the first are any ones
         n, asked = int(pdf["_n"].iat[0]), 1.0 if asks else float(pdf["_ask"].mean())
-        return pd.DataFrame([[*key, n, pickle.dumps(Index(x[order], n, seed, ids[order], asked))]], columns=codes.names)
+        return pd.DataFrame([[*key, n, pickle.dumps(Index(x[order], n, seed, ids[order], asked)), x.tobytes()]], columns=codes.names)
 
     models = written(numbered(some.groupBy(*own).applyInPandas(train, codes)))
 
@@ -396,18 +396,18 @@ def similar(vectors: DataFrame, keys: list[str], *, vec_id: str, vector: str, di
     counted = written(counted.withColumn("_r", F.row_number().over(Window.partitionBy("_c", "_probe", F.when(F.col("_probe") < 0, F.col("_cell"))).orderBy("_d", "_id"))).where(F.col("_r") <= k).drop("_r"))
 
     def plan(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = model.copy()
-        for i, m in enumerate(model["_m"]):
+        out = model.drop(columns="_sample")
+        for m, x in zip(model["_m"], model["_sample"]):
             index = pickle.loads(m)
             count = np.zeros(index.k**2, np.int64)
             own_cells, near = pdf[pdf["_probe"] < 0], pdf[pdf["_probe"] >= 0]
             count[own_cells["_cell"].to_numpy()] = own_cells["_times"].to_numpy()
-            index.plan(count, shard, k, recall, max_distance, near["_cell"].to_numpy(), near["_probe"].to_numpy(), cells)
+            index.plan(count, shard, k, recall, max_distance, near["_cell"].to_numpy(), near["_probe"].to_numpy(), np.frombuffer(x, np.float32).reshape(-1, dim), cells)
             out["_m"] = [pickle.dumps(index)]
         return out
 
     # a collection has at most 65,536 cells and PROBES * k neighbours
-    planned = written(counted.groupBy("_c").cogroup(models.groupBy("_c")).applyInPandas(plan, models.schema))
+    planned = written(counted.groupBy("_c").cogroup(models.groupBy("_c")).applyInPandas(plan, models.drop("_sample").schema))
     sent = beside(rows, planned, own, lambda: _Assign(width, dim, max_distance, asks), _SENT, model_bytes)
 
     def shard_search(t: pa.Table) -> pa.Table:

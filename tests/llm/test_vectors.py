@@ -105,7 +105,7 @@ def index_of(x, n, cells=None, recall=vectors.RECALL, max_distance=None, shard=5
     d = ((p[:, None] - x) ** 2).sum(-1)
     d[np.arange(len(p)), np.arange(len(p))] = np.inf
     near = np.argpartition(d, k, axis=1)[:, :k]
-    index.plan(np.bincount(cell, minlength=index.k**2), shard, k, recall, max_distance, cell[near].ravel(), np.repeat(np.arange(len(p)), k), cells)
+    index.plan(np.bincount(cell, minlength=index.k**2), shard, k, recall, max_distance, cell[near].ravel(), np.repeat(np.arange(len(p)), k), x[: vectors.SAMPLE], cells)
     return index, cell
 
 
@@ -172,7 +172,7 @@ def test_shards_are_of_bounded_size(n, skew):
     seen = np.bincount(index.cell(x), minlength=index.k**2) * (0.9 * n / len(x))
     rest = rng.random(index.k**2) ** 4  # most vectors are in no sampled cell
     count = (seen + 0.1 * n * rest / rest.sum()).astype(np.int64)
-    index.plan(count, 50_000, 5, 0.95, None, index.cell(x[:320]), np.repeat(np.arange(64), 5), 64)
+    index.plan(count, 50_000, 5, 0.95, None, index.cell(x[:320]), np.repeat(np.arange(64), 5), x, 64)
     large = index.split > 1
     load = np.bincount(index.shard[~large], weights=count[~large])
     assert load.max() <= 2 * 50_000 and (count / index.split).max() <= 50_000
