@@ -31,7 +31,6 @@ SHARD = 1024
 BUCKET = 50_000
 #: How texts are split before the merges of a byte-level rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_SOURCES = 10_000
 
 
 _loaded: dict = {}  # encoders of this process
@@ -118,9 +117,7 @@ class Mix:
         counts = token_counts(docs, tokenizer, doc_id=doc_id, text=text, source=source)
         self.counts = written(counts.join(aim.select("s"), "s", "left_semi"))
         self.have = self.counts.groupBy("s").agg(F.sum("n").alias("tokens"), F.count("*").alias("records"))
-        plan = aim.join(self.have, "s").orderBy("s").limit(MAX_SOURCES + 1).collect()
-        if len(plan) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
+        plan = aim.join(self.have, "s").orderBy("s").collect()  # a row for each target, which the caller states
         total = sum(r.p for r in plan)
         self.plan = [(r.s, r.p / total, r.r, -(-r.tokens // block), r.records) for r in plan]
         self.slots = int(min((r * n / p for _, p, r, n, _ in self.plan), default=0))
@@ -140,7 +137,7 @@ class Mix:
     def pieces(self) -> DataFrame:
         """(source, block, doc_id, first, last): tokens first to last - 1 of a record are in the block, in order of place."""
         buckets = self.spark.createDataFrame([(s, -(-n // BUCKET)) for s, *_, n in self.plan], "s string, b long")
-        rows = self.counts.join(F.broadcast(buckets), "s")  # at most MAX_SOURCES rows
+        rows = self.counts.join(F.broadcast(buckets), "s")  # a row for each target
         rows = rows.withColumn("h", F.xxhash64("d", F.lit(self.seed))).withColumn("bucket", F.pmod("h", "b")).drop("b")
         at = _running(rows, "s", "bucket", ["h", "d"], "n", "start")
         size = F.lit(self.block).cast("long")
@@ -202,15 +199,16 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """(shard, slot, source, block, use, n_tokens, pieces): the mix, a row for each slot."""
-        return self.assignments().join(self.blocks(), ["source", "block"]).select("shard", "slot", "source", "block", "use", "n_tokens", "pieces")
+        # both sides grow with the corpus, so neither may be broadcast
+        return self.assignments().join(self.blocks().hint("merge"), ["source", "block"]).select("shard", "slot", "source", "block", "use", "n_tokens", "pieces")
 
     def shares(self) -> DataFrame:
         """(source, target_share, max_repeats, n_records, n_tokens, used_tokens, share, most_uses): what was reached.
 
         Every target has a row; one without tokens or room reached 0."""
         blocks = self.pieces().groupBy("source", "block").agg(F.sum(F.col("last") - F.col("first")).alias("n"))
-        used = self.assignments().join(blocks, ["source", "block"]).groupBy("source").agg(F.sum("n").alias("used"), (F.max("use") + 1).alias("most"))
-        used = used.withColumn("all", F.sum("used").over(Window.partitionBy(F.lit(0))))  # at most MAX_SOURCES rows
+        used = self.assignments().join(blocks.hint("merge"), ["source", "block"]).groupBy("source").agg(F.sum("n").alias("used"), (F.max("use") + 1).alias("most"))
+        used = used.withColumn("all", F.sum("used").over(Window.partitionBy(F.lit(0))))  # a row for each target
         rows = self.aim.withColumnRenamed("s", "source").join(self.have.withColumnRenamed("s", "source"), "source", "left").join(used, "source", "left")
         zero = F.lit(0).cast("long")
         return rows.select("source", F.col("p").alias("target_share"), F.col("r").alias("max_repeats"), F.coalesce("records", zero).alias("n_records"), F.coalesce("tokens", zero).alias("n_tokens"), F.coalesce("used", zero).alias("used_tokens"), F.coalesce(F.col("used") / F.col("all"), F.lit(0.0)).alias("share"), F.coalesce("most", zero).alias("most_uses"))
@@ -218,7 +216,7 @@ class Mix:
     def record_uses(self) -> DataFrame:
         """(doc_id, source, n_tokens, used_tokens, most_uses): how much of each record the mix holds, unused ones with 0."""
         times = self.assignments().groupBy("source", "block").agg(F.count("*").alias("t"))
-        used = self.pieces().join(times, ["source", "block"], "left").groupBy("doc_id", "source")
+        used = self.pieces().join(times.hint("merge"), ["source", "block"], "left").groupBy("doc_id", "source")
         length = F.col("last") - F.col("first")
         zero = F.lit(0).cast("long")
         return used.agg(F.sum(length).alias("n_tokens"), F.sum(length * F.coalesce("t", zero)).alias("used_tokens"), F.max(F.coalesce("t", zero)).alias("most_uses"))

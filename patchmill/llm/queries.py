@@ -36,6 +36,13 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar(_bank(spark, sf_dir), COLLECTION, vec_id="proto_id", vector="embedding", dim=32, k=5, queries=lambda i: i % 100 == 0)
 
 
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs that a search of all cells finds for the same queries, whether p1_neighbours gives nine tenths."""
+    exact = vectors.similar(_bank(spark, sf_dir), COLLECTION, vec_id="proto_id", vector="embedding", dim=32, k=5, recall=1, queries=lambda i: i % 100 == 0)
+    got = p1_neighbours(spark, sf_dir).select(*COLLECTION, "id", "neighbour", F.lit(1).alias("hit"))
+    return exact.join(got, [*COLLECTION, "id", "neighbour"], "left").agg(F.count("*").alias("n"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = splits.Overlaps(table(spark, sf_dir, "industrial_samples")).pairs()
     return pairs.select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
@@ -55,7 +62,19 @@ def p3_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentiles of each category, from the sketches of its days."""
-    return sketches.percentiles(sketches.merge(p3_daily_sketches(spark, sf_dir), ["category"]), ["category"], SHARES)
+    return sketches.percentiles(sketches.merge(p3_daily_sketches(spark, sf_dir), ["category"], few=True), ["category"], SHARES)
+
+
+def p3_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each answer of p3_percentiles whether its true rank lies within the bound it carries."""
+    answers = written(p3_percentiles(spark, sf_dir))
+    pixels = table(spark, sf_dir, "pixel_scores").select(_clean("category"), F.explode(F.array(F.struct(F.lit("intensity").alias("measure"), F.col("intensity").alias("v")), F.struct(F.lit("score").alias("measure"), F.when(F.col("score") != -1, F.col("score")).alias("v")))).alias("m"))
+    pixels = pixels.select("category", "m.*").where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    each = pixels.join(answers, ["category", "measure"])  # a dozen answers for each value, counted before any shuffle
+    ranks = each.groupBy("category", "measure", "percentile", "n", "rank_error").agg(F.count("*").alias("true_n"), F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    share = F.col("percentile") / 100
+    off = F.greatest(F.col("below") / F.col("true_n") - share, share - F.col("upto") / F.col("true_n"), F.lit(0.0))
+    return ranks.select("category", "measure", F.round("percentile").cast("int").alias("percentile"), "n", (off <= F.col("rank_error") + 1 / F.col("n")).alias("within"))
 
 
 def _cutoffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -79,6 +98,10 @@ def p5_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subsets.varied_subset(_bank(spark, sf_dir), targets, COLLECTION, vec_id="proto_id", vector="embedding", dim=32)
 
 
+def p5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_subset(spark, sf_dir).groupBy("category", "layer").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -106,6 +129,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source whether its share lies within 6 deviations of the draw and no record is used too often."""
+    mix = _mix(spark, sf_dir)
+    near = F.abs(F.col("share") - F.col("target_share")) <= 6 * F.sqrt(F.col("target_share") * (1 - F.col("target_share")) / max(1, mix.slots)) + 2 / max(1, mix.slots)
+    return mix.shares().select("source", "target_share", "max_repeats", near.alias("near"), (F.col("most_uses") <= F.col("max_repeats")).alias("within"))
+
+
 def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).record_uses()
 
@@ -132,7 +162,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_percentiles, p3_daily_sketches, p4_found, p4_cutoffs, p5_subset, p6_found, p6_longest, p6_clean, p7_mix, p7_shares, p7_records, p7_tokens, p8_found, p8_shared, p8_links, p8_spans)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_counts, p3_percentiles, p3_daily_sketches, p3_rank_errors, p4_found, p4_cutoffs, p5_subset, p5_sizes, p6_found, p6_longest, p6_clean, p7_mix, p7_shares, p7_limits, p7_records, p7_tokens, p8_found, p8_shared, p8_links, p8_spans)}
 
 
 _P4_SQL = """
@@ -161,6 +191,16 @@ _P1_SQL = """
     r AS (SELECT a, b FROM d WHERE d <= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
     SELECT DISTINCT least(a, b) AS proto_id_a, greatest(a, b) AS proto_id_b FROM r
 """
+_P1_RECALL = """
+    g AS (SELECT c, layer, count(DISTINCT proto_id) AS n FROM v GROUP BY ALL)
+    SELECT sum(least(5, n - 1))::BIGINT AS n, true AS enough FROM (SELECT DISTINCT c, layer, proto_id FROM v WHERE proto_id % 100 = 0) JOIN g USING (c, layer)
+"""
+_P6_LONGEST = """
+    dg AS (SELECT doc_id, p AS q, array_to_string(w[p : p + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) t(p)),
+    m AS (SELECT doc_id, item_id, n, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM dg JOIN ig USING (g)),
+    r AS (SELECT doc_id, item_id, n, min(p) - 1 AS start, count(*) + 7 AS length FROM m GROUP BY doc_id, item_id, n, p - q, run)
+    SELECT item_id, n::BIGINT AS item_words, start::BIGINT AS start, length::BIGINT AS length, doc_id FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length DESC, start, doc_id) = 1
+"""
 _P6_SQL = r"""
     WITH i AS (SELECT item_id, list_transform(regexp_extract_all(regexp_replace(text, '\\+.?', ' ', 'gs'), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
     ig AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p : p + 7], ' ') AS g FROM i, unnest(range(1, len(w) - 6)) t(p)),
@@ -176,6 +216,24 @@ _P8_SQL = """
     g AS (SELECT DISTINCT ids FROM m)
     SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM g, unnest(ids) x(a), unnest(ids) y(b) WHERE a < b
 """
+_P3_SQL = """
+    WITH m AS (SELECT lower(trim(category)) AS category, 'intensity' AS measure, intensity AS v FROM pixel_scores UNION ALL SELECT lower(trim(category)), 'score', score FROM pixel_scores WHERE score <> -1),
+    n AS (SELECT category, measure, count(*) AS n FROM m WHERE isfinite(v) GROUP BY ALL)
+    SELECT category, measure, p::INT AS percentile, n, true AS within FROM n, (VALUES (1), (25), (50), (75), (95), (99)) t(p)
+"""
+_P5_SQL = """
+    WITH v AS (SELECT DISTINCT lower(trim(category)) AS category, layer, embedding FROM prototype_embeddings
+               WHERE len(embedding) = 32 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 32 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS (SELECT v.category, v.layer, greatest(1, (count(*) * any_value(subset_permille) + 500) // 1000)::BIGINT AS n FROM v JOIN subset_targets t ON t.category = v.category AND t.layer = v.layer GROUP BY ALL)
+    SELECT category, layer, n, n AS ids FROM s
+"""
+_P8_SHARED = """
+    WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 400),
+    h AS (SELECT doc_id, n, i, md5_number(substring(text, i::INT, 400)) AS h FROM t, unnest(range(1, n - 398)) u(i)),
+    s AS (SELECT h FROM h GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+    c AS (SELECT doc_id, n, least(400, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 400)) AS k FROM h SEMI JOIN s USING (h))
+    SELECT doc_id, n::BIGINT AS n_chars, sum(k)::BIGINT AS shared_chars, sum(k) / n AS shared_share FROM c GROUP BY doc_id, n
+"""
 _P8_LINKS = """),
     e AS (SELECT doc_id_a AS d, doc_id_b AS o FROM p UNION ALL SELECT doc_id_b, doc_id_a FROM p),
     c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM t)
@@ -188,6 +246,13 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1_SQL,
         "p6_found": _P6_SQL,
         "p8_found": _P8_SQL,
+        "p1_recall": _P1_SQL.split("d AS (")[0] + _P1_RECALL,
+        "p6_longest": _P6_SQL.split("dg AS (")[0] + _P6_LONGEST,
+        "p3_rank_errors": _P3_SQL,
+        "p5_sizes": _P5_SQL,
+        "p6_clean": _P6_SQL.rsplit("SELECT doc_id, item_id", 1)[0] + ", f AS (SELECT doc_id FROM hit GROUP BY doc_id, item_id, n HAVING 2 * count(*) >= n) SELECT doc_id, source, n_chars FROM documents ANTI JOIN f USING (doc_id)",
+        "p7_limits": "SELECT source, target_share, max_repeats::BIGINT AS max_repeats, true AS near, true AS within FROM mix_targets",
+        "p8_shared": _P8_SHARED,
         "p8_links": _P8_SQL.replace("SELECT DISTINCT a AS", ", p AS (SELECT DISTINCT a AS") + _P8_LINKS,
         "p4_found": _P4_SQL + "SELECT s.category, s.label, s.sample_id FROM scored s JOIN cut USING (category, label) WHERE score >= cutoff",
         "p4_cutoffs": _P4_SQL + "SELECT category, label, c.keep_permille, c.n, c.cutoff, count(*) AS n_kept FROM scored s JOIN cut c USING (category, label) WHERE score >= cutoff GROUP BY ALL",

@@ -144,10 +144,11 @@ def sketch(df: DataFrame, keys: list[str], measures: dict[str, object], *, k: in
     return merge(rows.mapInArrow(run, out), keys, k=k)
 
 
-def merge(sketches: DataFrame, keys: list[str], *, k: int = K) -> DataFrame:
+def merge(sketches: DataFrame, keys: list[str], *, k: int = K, few: bool = False) -> DataFrame:
     """Sketches of the same keys combined: keys may be fewer than those the sketches were made by.
 
-    The result of an empty table is empty.
+    Those of FAN_IN partitions are merged first and the results after that. few says that no group has more sketches than
+    one task can merge at once, some thousands, as when days are combined. The result of an empty table is empty.
     """
     out = T.StructType([*(sketches.schema[c] for c in keys), *_FIELDS])
     by = [*keys, "measure"]
@@ -164,6 +165,8 @@ def merge(sketches: DataFrame, keys: list[str], *, k: int = K) -> DataFrame:
             s.merge(int(pdf["n"].iat[i]), float(pdf["variance"].iat[i]), levels[i])
         return pd.DataFrame([[*key, s.n, s.variance, [v.tolist() for v in s.levels]]], columns=[f.name for f in out])
 
+    if few:
+        return sketches.select(*by, "n", "variance", "levels").groupBy(*by).applyInPandas(run, out)
     rows = sketches.select(*by, "n", "variance", "levels", (F.spark_partition_id() / FAN_IN).cast("int").alias("_part"))
     some = rows.groupBy(*by, "_part").applyInPandas(run, out)
     return some.groupBy(*by).applyInPandas(run, out)
