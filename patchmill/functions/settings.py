@@ -15,6 +15,7 @@ SPLITS = ["train", "validation", "test_public", "test_private", "test_private_mi
 EXPECTED_COUNTS = {"can": 321, "fabric": 314, "fruit_jelly": 255, "rice": 277, "sheet_metal": 142, "vial": 276, "wallplugs": 232, "walnuts": 228}
 SUBMISSION_SPLITS = ["test_private", "test_private_mixed"]
 GOOD, BAD, UNKNOWN = 0, 1, -1
+# Means and deviations of the channels.
 CHANNEL_MEAN = [0.485, 0.456, 0.406]
 CHANNEL_STD = [0.229, 0.224, 0.225]
 
@@ -38,6 +39,7 @@ def known(value: str, allowed: list[str], what: str) -> str:
     return value
 
 
+# The defaults are those that an existing settings file leaves out.
 @dataclass
 class Settings:
     """Settings of a run. Folders are absolute or relative to the file they were read from."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchmill.functions.settings import CATEGORIES, EXPECTED_COUNTS, SUBMISSION_SPLITS
+from patchmill.runtime import is_folder
 
 VIOLATION = "rank int, rule string, category string, split string, detail string"
 #: In the order in which they are reported.
@@ -103,7 +104,7 @@ def check_folder(spark: SparkSession, results: str, counts: dict[str, int] | Non
     for c in (counts or EXPECTED_COUNTS) if counts is not None else CATEGORIES:
         roots += [os.path.join(results, d, c, s) for s in SUBMISSION_SPLITS for d in ("anomaly_images", "anomaly_images_thresholded")]
     for r in roots:
-        if not os.path.isdir(r):
+        if not is_folder(r):
             raise FileNotFoundError(r)
     where = r"(anomaly_images|anomaly_images_thresholded)/([^/]+)/([^/]+)/([^/]+)\.(tiff|png)$"
     part = lambda i: F.regexp_extract("path", where, i)

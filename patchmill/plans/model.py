@@ -17,6 +17,7 @@ from patchmill.functions.settings import BANK
 from patchmill.operators import metrics, morphology
 from patchmill.operators.knn import anomaly_scores, knn_join
 from patchmill.operators.thinning import thin
+from patchmill.runtime import read_file, write_file, written
 
 MAPS = "category string, image_id long, height int, width int, scores array<float>"
 
@@ -85,6 +86,7 @@ class AnomalyModel:
         parts = tokens.join(images.select("image_id", "part"), "image_id")
         rows = parts.where("part = 'bank'").select("category", "layer", F.xxhash64("category", "layer", "image_id", "ty", "tx").alias("proto_id"), "embedding")
         bank = thin(rows, ["category", "layer"], bank_id="proto_id", vector="embedding", target=params.bank_size, subsets=params.subsets, neighbours=params.thinning_neighbours, seed=params.seed).to(BANK)
+        bank = written(bank)  # what follows reads it several times
         if bank.isEmpty():
             raise ValueError("the bank is empty")
         model = cls(bank, {}, params)
@@ -112,13 +114,11 @@ class AnomalyModel:
 
     def save(self, path: str) -> None:
         self.bank.write.mode("overwrite").partitionBy("category", "layer").parquet(os.path.join(path, "bank"))
-        with open(os.path.join(path, "model.json"), "w") as f:
-            json.dump({"constructor": asdict(self.params), "trained": {"thresholds": self.thresholds}}, f, indent=2)
+        write_file(os.path.join(path, "model.json"), json.dumps({"constructor": asdict(self.params), "trained": {"thresholds": self.thresholds}}, indent=2).encode())
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> AnomalyModel:
-        with open(os.path.join(path, "model.json")) as f:
-            meta = json.load(f)
+        meta = json.loads(read_file(os.path.join(path, "model.json")))
         return cls(spark.read.schema(BANK).parquet(os.path.join(path, "bank")), meta["trained"]["thresholds"], Params(**meta["constructor"]))
 
 
@@ -145,15 +145,22 @@ def evaluate(maps: DataFrame, masks: DataFrame, max_fpr: float = 0.05) -> DataFr
     return metrics.score_table(metrics.partial_auc(told, ["category"], "score", "truth", max_fpr), metrics.f1(told, ["category"], "flag", "truth"))
 
 
+def map_problems(maps: DataFrame, masks: DataFrame) -> DataFrame:
+    """(category, image_id, problem): masks whose map is 'missing' or has another 'size'."""
+    both = masks.select("category", "image_id", F.col("height").alias("_h"), F.col("width").alias("_w")).join(maps.select("image_id", "height", "width", F.col("scores").isNotNull().alias("_there")), "image_id", "left")
+    problem = F.when(~F.coalesce("_there", F.lit(False)), "missing").when((F.col("height") != F.col("_h")) | (F.col("width") != F.col("_w")), "size")
+    return both.select("category", "image_id", problem.alias("problem")).where("problem is not null")
+
+
 def evaluate_local(maps: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((category, image_id, best_f1), (category, best_f1) with a 'mean' row) of maps and the bad images' masks.
 
     Each mask needs a map of its own size; a missing one or another size raises ValueError.
     """
-    both = masks.select("image_id", F.col("category").alias("_c"), F.col("height").alias("_h"), F.col("width").alias("_w"), "mask").join(maps, "image_id", "left")
-    bad = both.where("scores is null or height <> _h or width <> _w").first()
+    bad = map_problems(maps, masks).first()
     if bad is not None:
-        raise ValueError(f"no map of {bad._c}/{bad.image_id} in the size of its mask")
+        raise ValueError(f"no map of {bad.category}/{bad.image_id} in the size of its mask")
+    both = masks.select("image_id", "mask").join(maps, "image_id")
     each = both.select("category", "image_id", F.inline(F.arrays_zip(F.col("scores").alias("score"), F.col("mask").alias("truth"))))
-    per_image = metrics.best_f1(each.toDF("category", "image_id", "score", "truth"), ["category", "image_id"], "score", F.col("truth") > 0)
+    per_image = metrics.best_f1(each.toDF("category", "image_id", "score", "truth"), ["category", "image_id"], "score", F.col("truth") > 0, bounded=True)
     return per_image, metrics.mean_of_means(per_image, "category", "best_f1")

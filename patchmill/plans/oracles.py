@@ -40,6 +40,27 @@ _MAPS = """
     cross5 AS (SELECT * FROM (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)) t(dy, dx)),
     line3 AS (SELECT * FROM (VALUES (0, -1), (0, 0), (0, 1)) t(dy, dx))
 """
+#: x as the nearest half-precision number, ties to even.
+_HALF = "CASE WHEN {x} = 0 THEN 0 ELSE round_even({x} / pow(2, greatest(floor(log2(abs({x}))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs({x}))), -14) - 10) END"
+_IMAGES = """
+    im AS (SELECT DISTINCT ON (sample_id) sample_id, height, width, hex(image) AS hx FROM industrial_samples
+           WHERE image IS NOT NULL AND sample_id IS NOT NULL AND height > 0 AND width > 0 AND octet_length(image) = 3 * height * width),
+    px AS (SELECT sample_id, height, width, (p // 3) // width AS y, (p // 3) % width AS x, p % 3 AS channel, ('0x' || substring(hx, (2 * p + 1)::INT, 2))::INT AS v FROM im, unnest(range(3 * height * width)) t(p))
+"""
+#: Taps of one axis, (n, o, i, w): {sizes} gives n and out, {kind} the weights.
+_LINEAR = """
+    la AS (SELECT n, m, o, greatest(0, (o + 0.5::DOUBLE) * n / m - 0.5) AS c FROM (VALUES {sizes}) s(n, m), unnest(range(m)) t(o)),
+    lb AS (SELECT n, m, o, least(floor(c)::INT, n - 1) AS low, c - least(floor(c)::INT, n - 1) AS f FROM la),
+    lw AS (SELECT n, m, o, low AS i, 1 - f AS w FROM lb UNION ALL SELECT n, m, o, least(low + 1, n - 1), f FROM lb)
+"""
+_CUBIC = """
+    sz AS (SELECT DISTINCT height AS n FROM im UNION SELECT DISTINCT width FROM im),
+    ca AS (SELECT n, o, n / floor(n * 0.625) AS sc, (o + 0.5::DOUBLE) * n / floor(n * 0.625) AS c FROM sz, unnest(range(floor(n * 0.625)::INT)) t(o)),
+    cb AS (SELECT n, o, sc, c, unnest(range(greatest(0, trunc(c - 2 * sc + 0.5)::INT), least(n, trunc(c + 2 * sc + 0.5)::INT))) AS i FROM ca),
+    cc AS (SELECT n, o, i, abs((i + 0.5::DOUBLE - c) / sc) AS d FROM cb),
+    cd AS (SELECT n, o, i, CASE WHEN d < 1 THEN (1.5 * d - 2.5) * d * d + 1 WHEN d < 2 THEN -0.5 * (((d - 5) * d + 8) * d - 4) ELSE 0 END AS w FROM cc),
+    cw AS (SELECT n, o, i, w / sum(w) OVER (PARTITION BY n, o) AS w FROM cd)
+"""
 #: Distances to the k nearest in the same subset (w), and from them the rows that stay (kept).
 _NEAR = """        x AS (SELECT q.category, q.layer, q.part, q.share, q.id, q.u, q.late, len(list_filter(range({k} + 1), lambda c: q.u < 1.0::DOUBLE / (c + 1))) AS need, list_distance(q.e, b.e) AS dist,
                      row_number() OVER (PARTITION BY q.category, q.layer, q.id ORDER BY list_distance(q.e, b.e), b.id) AS k
@@ -141,7 +162,61 @@ SQL: dict[str, str] = {
         b AS (SELECT n, o, least(floor(centre)::INT, 7) AS low, centre - least(floor(centre)::INT, 7) AS f FROM a),
         w AS (SELECT n, o, low AS i, 1 - f AS w FROM b UNION ALL SELECT n, o, least(low + 1, 7), f FROM b)
         SELECT vec_id, wy.o::INT AS y, wx.o::INT AS x, round(sum(score * wy.w * wx.w), 7) AS score FROM m JOIN w wy ON wy.n = 16 AND wy.i = y JOIN w wx ON wx.n = 12 AND wx.i = x GROUP BY ALL""",
-    "layer_mean": f"WITH {_MAPS} SELECT vec_id, y % 4 AS y, x, round(avg(score), 7) AS score FROM m GROUP BY ALL",
+    "layer_mean": f"""
+        WITH {_MAPS}, {_LINEAR.format(sizes="(4, 6), (8, 10)")},
+        r AS (SELECT vec_id, y // 4 AS layer, wy.o AS y, wx.o AS x, sum(score * wy.w * wx.w) AS score FROM m JOIN lw wy ON wy.n = 4 AND wy.i = y % 4 JOIN lw wx ON wx.n = 8 AND wx.i = x GROUP BY ALL)
+        SELECT vec_id, y::INT AS y, x::INT AS x, round(avg(score)::FLOAT::DOUBLE, 7) + 0 AS score FROM r GROUP BY ALL""",
+    "half_scores": f"WITH {_MAPS} SELECT vec_id, (y * 8 + x)::INT AS place, {_HALF.format(x='score')} AS value FROM m",
+    "truth_resize": f"""
+        WITH {_MAPS}, {_LINEAR.format(sizes="(8, 5), (8, 3)")}
+        SELECT vec_id, (wy.o * 3 + wx.o)::INT AS place, (sum((score > 0.08)::INT * wy.w * wx.w) > 0.5)::INT AS value FROM m JOIN lw wy ON wy.m = 5 AND wy.i = y JOIN lw wx ON wx.m = 3 AND wx.i = x GROUP BY ALL""",
+    "mask_decode": f"WITH {_MAPS} SELECT vec_id, (a * 20 + b)::INT AS place, (score > 0)::INT AS value FROM range(12) s(a), range(20) t(b), m WHERE y = a * 8 // 12 AND x = b * 8 // 20",
+    "channel_means": f"WITH {_IMAGES} SELECT sample_id, channel::INT AS channel, sum(v)::BIGINT AS total, count(*) AS n FROM px GROUP BY ALL",
+    "image_files": f"WITH {_IMAGES} SELECT sample_id, height, width, sum(v)::BIGINT AS total, max(v) FILTER (channel = 0 AND y = 0 AND x = 0) AS red FROM px GROUP BY ALL",
+    "patch_tokens": f"WITH {_IMAGES} SELECT sample_id, 7 AS layer, (y // 4)::INT AS ty, (x // 4)::INT AS tx, sum(v)::BIGINT AS red FROM px WHERE height = 16 AND width = 16 AND channel = 0 GROUP BY ALL",
+    "bicubic_resize": f"""
+        WITH {_IMAGES}, {_CUBIC}, r AS (SELECT sample_id, height, width, channel, wy.o AS y, wx.o AS x, sum((v / 255.0::DOUBLE)::FLOAT::DOUBLE * wy.w * wx.w)::FLOAT::DOUBLE AS v
+            FROM px JOIN cw wy ON wy.n = height AND wy.i = y JOIN cw wx ON wx.n = width AND wx.i = x GROUP BY ALL),
+        s AS (SELECT *, floor(height * 0.625)::INT AS h, floor(width * 0.625)::INT AS w FROM r)
+        SELECT sample_id, h AS height, w AS width, channel::INT AS channel, round(sum(v * ((channel * h * w + y * w + x) % 7 + 1)), 3) AS total FROM s GROUP BY ALL""",
+    "batch_sizes": f"WITH {_SAMPLES} SELECT count(*) AS n, true AS bounded FROM s WHERE image_path IS NOT NULL",
+    "map_files": f"""
+        WITH {_MAPS} SELECT vec_id, 'tiff' AS kind, 'float16' AS dtype, (y * 8 + x)::INT AS place, {_HALF.format(x='score')} AS value FROM m
+        UNION ALL SELECT vec_id, 'png', 'uint8', (y * 8 + x)::INT, CASE WHEN score > 0.1 THEN 255 ELSE 0 END FROM m""",
+    "scores_csv": f"""
+        WITH {_EVENTS}, {_AUC}, a AS (SELECT category AS "Category", auc AS "AU", f1 AS "F1" FROM auc JOIN fixed USING (category)),
+        b AS (SELECT "Category", round("AU", 9) AS "AU", round("F1", 9) AS "F1" FROM a UNION ALL SELECT 'mean', round(avg("AU"), 9), round(avg("F1"), 9) FROM a)
+        SELECT (row_number() OVER (ORDER BY "Category" = 'mean', "Category") - 1)::INT AS place, * FROM b""",
+    "fit_transform": """
+        WITH v AS (SELECT vec_id, label, 'c' || (label % 2) AS category, l AS layer, embedding[32 * l + 1 : 32 * l + 32]::DOUBLE[] AS e FROM embeddings, range(2) t(l)),
+        d AS (SELECT q.vec_id, q.label, q.category, q.layer, min(list_distance(q.e, b.e)) / 32 AS d FROM v q JOIN v b ON q.category = b.category AND q.layer = b.layer AND b.label <= 6 AND b.vec_id % 8 <> 0
+              WHERE q.label > 6 OR q.vec_id % 8 = 0 GROUP BY ALL),
+        s AS (SELECT vec_id, label, category, avg(d)::FLOAT::DOUBLE AS score FROM d GROUP BY ALL),
+        t AS (SELECT category, quantile_cont(score, 0.95) * 1.421 AS threshold FROM s WHERE label <= 6 GROUP BY 1)
+        SELECT category, vec_id, round(score, 9) AS score, score > threshold AS flag FROM s JOIN t USING (category)""",
+    "evaluate_maps": f"""
+        WITH {_MAPS}, z AS (SELECT 'c' || (label % 4) AS category, {_HALF.format(x='score')} AS score, vec_id % 3 <> 0 AND (vec_id * 7 + (y * 8 + x) * 13) % 10 < 2 AS truth, score > 0.1 AS flag FROM m JOIN embeddings USING (vec_id) WHERE vec_id % 11 <> 0),
+        e AS (SELECT category, score, truth FROM z), {_AUC},
+        q AS (SELECT category, count(*) FILTER (flag AND truth) AS tp, count(*) FILTER (flag <> truth) AS off FROM z GROUP BY 1),
+        a AS (SELECT category AS "Category", auc AS "AU", 2.0::DOUBLE * q.tp / (2 * q.tp + off) AS "F1" FROM auc JOIN q USING (category))
+        SELECT "Category", round("AU", 9) AS "AU", round("F1", 9) AS "F1" FROM a UNION ALL SELECT 'mean', round(avg("AU"), 9), round(avg("F1"), 9) FROM a""",
+    "map_problems": "SELECT 'c' || label AS category, vec_id AS image_id, CASE WHEN vec_id % 5 = 0 THEN 'missing' ELSE 'size' END AS problem FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 7 = 0",
+    "clean_maps": f"""
+        WITH RECURSIVE {_MAPS}, l AS (SELECT i, pi() * i / 8 AS a FROM range(8) t(i)),
+        ends AS (SELECT i, round(2 - 2 * sin(a)) AS y0, round(2 - 2 * cos(a)) AS x0, round(2 + 2 * sin(a)) AS y1, round(2 + 2 * cos(a)) AS x1 FROM l),
+        near AS (SELECT *, greatest(0, least(1, ((ky - y0) * (y1 - y0) + (kx - x0) * (x1 - x0)) / ((y1 - y0) ** 2 + (x1 - x0) ** 2))) AS t FROM ends, range(5) y(ky), range(5) x(kx)),
+        k1 AS (SELECT i, ky, kx, count(*) OVER (PARTITION BY i) AS size FROM near WHERE sqrt((ky - y0 - t * (y1 - y0)) ** 2 + (kx - x0 - t * (x1 - x0)) ** 2) <= 1 + 1e-9),
+        k2 AS (SELECT DISTINCT i, ky + a AS ky, kx + b AS kx FROM k1, range(2) s(a), range(2) u(b) WHERE ky + a < 5 AND kx + b < 5),
+        wide AS (SELECT DISTINCT vec_id, i, y - (ky - 2) AS y, x - (kx - 2) AS x FROM front, k2),
+        shut AS (SELECT vec_id, i, y - (ky - 2) AS y, x - (kx - 2) AS x FROM wide JOIN k1 USING (i) GROUP BY vec_id, i, y - (ky - 2), x - (kx - 2) HAVING count(*) = any_value(size)),
+        joined AS (SELECT * FROM front UNION SELECT vec_id, y, x FROM shut WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7),
+        closed AS (SELECT vec_id, y, x FROM joined JOIN m USING (vec_id, y, x) WHERE score > 0.08 * 0.5::DOUBLE),
+        back AS (SELECT vec_id, y, x FROM m ANTI JOIN closed USING (vec_id, y, x)),
+        reached AS (SELECT * FROM back WHERE y IN (0, 7) OR x IN (0, 7) UNION
+                    SELECT b.vec_id, b.y, b.x FROM reached r JOIN back b ON b.vec_id = r.vec_id AND abs(b.y - r.y) + abs(b.x - r.x) = 1),
+        filled AS (SELECT vec_id, y, x FROM m ANTI JOIN reached USING (vec_id, y, x))
+        SELECT f.vec_id, f.y, f.x FROM filled f, cross5 LEFT JOIN filled g ON g.vec_id = f.vec_id AND g.y = f.y + dy AND g.x = f.x + dx
+        GROUP BY ALL HAVING bool_and(g.vec_id IS NOT NULL OR f.y + dy NOT BETWEEN 0 AND 7 OR f.x + dx NOT BETWEEN 0 AND 7)""",
     "dilation": f"WITH {_MAPS} SELECT DISTINCT vec_id, y + dy AS y, x + dx AS x FROM front, cross5 WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7",
     "line_closing": f"""
         WITH {_MAPS}, wide AS (SELECT DISTINCT vec_id, y + dy AS y, x + dx AS x FROM front, line3),

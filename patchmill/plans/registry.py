@@ -6,17 +6,22 @@ import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchmill.functions import arrays
+from patchmill.functions import arrays, resize
 from patchmill.functions.resize import resize_pixels
 from patchmill.operators import metrics, morphology, thinning, tiling, validation
 from patchmill.operators.knn import anomaly_scores, knn_join
-from patchmill.plans.model import Params, token_scores
+from patchmill.plans.model import AnomalyModel, Params, evaluate, pixels, score_maps, token_scores
+from patchmill.plans.model import map_problems as find_map_problems
 from patchmill.plans.oracles import SQL
-from patchmill.runtime import shared_dir, table
+from patchmill.runtime import shared_dir, table, write_file
 from patchmill.sources import catalog as catalogs
+from patchmill.sources import images, predictions
+from patchmill.sources.codecs import write_png
 from patchmill.sources.predictions import resolve_predictions
 from patchmill.streaming.scoring import score_stream
 
@@ -119,13 +124,11 @@ def prediction_paths(spark, sf_dir):
 
 def layer_scores(spark, sf_dir):
     """Bank and queries within each category and layer: every eighth sample of a category is held out."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "prototype_embeddings").select("proto_id", _clean("category"), "layer", "sample_id", "ty", "tx", "embedding")
     finite = "size(embedding) = 32 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < float('infinity')) and exists(embedding, v -> v <> 0)"
     rows = rows.where(finite).dropDuplicates(["proto_id"])
-    place = F.dense_rank().over(Window.partitionBy("category").orderBy("sample_id")) - 1
-    rows = rows.withColumn("held", place % 8 == 0)
+    places = catalogs.with_position(rows.select("category", "sample_id").distinct(), ["category"], ["sample_id"])
+    rows = rows.join(places, ["category", "sample_id"]).withColumn("held", F.col("position") % 8 == 0)
     tokens = rows.where("held").select("category", "layer", F.col("proto_id").alias("image_id"), "ty", "tx", "embedding")
     scores = token_scores(tokens, rows.where("not held").select("category", "layer", "proto_id", "embedding"), Params(dim=32))
     return scores.select("category", "layer", F.col("image_id").alias("proto_id"), F.round("score", 6).alias("score"))
@@ -202,9 +205,10 @@ def bilinear_resize(spark, sf_dir):
 
 
 def layer_mean(spark, sf_dir):
-    """Maps of two layers (the halves of a vector) averaged pixel by pixel."""
-    rows = _maps(spark, sf_dir).withColumn("y", F.col("y") % 4)
-    return rows.groupBy("vec_id", "y", "x").agg(F.round(F.avg("score"), 7).alias("score"))
+    """Token grids of two layers (the halves of a vector) brought to 6 x 10 and averaged."""
+    tokens = _maps(spark, sf_dir).select(F.lit("c").alias("category"), F.floor(F.col("y") / 4).cast("int").alias("layer"), F.col("vec_id").alias("image_id"), (F.col("y") % 4).alias("ty"), F.col("x").alias("tx"), "score")
+    sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(24).alias("height"), F.lit(40).alias("width"))
+    return pixels(score_maps(tokens, sizes, 4)).select(F.col("image_id").alias("vec_id"), "y", "x", (F.round(F.col("score").cast("double"), 7) + F.lit(0.0)).alias("score"))
 
 
 def _front(spark, sf_dir) -> DataFrame:
@@ -290,9 +294,134 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(f"{out}/scores").select("vec_id", F.round("score", 9).alias("score"), "flag")
 
 
+def _over_maps(rows: DataFrame, work, value: str = "double") -> DataFrame:
+    """(vec_id, place, value) of work() on each embedding as a map of 8 x 8."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.asarray(work(np.array(v, np.float32).reshape(8, 8))).ravel() for v in batch.column(1).to_pylist()]
+            kind = {"double": pa.float64(), "int": pa.int32()}[value]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tolist() for f in found], pa.list_(kind))], names=["vec_id", "v"])
+
+    return rows.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, v array<{value}>").select("vec_id", F.posexplode("v").alias("place", "value"))
+
+
+def half_scores(spark, sf_dir):
+    """Scores as half-precision maps hold them."""
+    return _over_maps(table(spark, sf_dir, "embeddings"), morphology.half)
+
+
+def truth_resize(spark, sf_dir):
+    """Truth masks of 8 x 8 brought to 5 x 3."""
+    return _over_maps(table(spark, sf_dir, "embeddings"), lambda m: resize.truth_mask((m > 0.08).astype(np.uint8), 5, 3), "int")
+
+
+def mask_decode(spark, sf_dir):
+    """Grey masks of 8 x 8 as 0/1 of 12 x 20."""
+    return _over_maps(table(spark, sf_dir, "embeddings"), lambda m: images.decode_mask(np.where(m > 0, 200.0, 90.0), 12, 20), "int")
+
+
+def _pictures(spark, sf_dir) -> DataFrame:
+    """Each sample's image once, as planar floats; unusable ones left out."""
+    rows = table(spark, sf_dir, "industrial_samples").where("image is not null and sample_id is not null").select("sample_id", "height", "width", "image").dropDuplicates(["sample_id"])
+    return images.bytes_to_pixels(rows).where("pixels is not null")
+
+
+def channel_means(spark, sf_dir):
+    """Images of raw bytes as pixels: the sum of each channel."""
+    each = _pictures(spark, sf_dir).select("sample_id", F.posexplode("pixels").alias("p", "v"), (F.col("height") * F.col("width")).alias("n"))
+    return each.groupBy("sample_id", F.floor(F.col("p") / F.col("n")).cast("int").alias("channel")).agg(F.round(F.sum(F.col("v").cast("double") * 255)).cast("long").alias("total"), F.count("*").alias("n"))
+
+
+def image_files(spark, sf_dir):
+    """Images written as PNG by the executors, listed, read by the image source and summed up."""
+    folder = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    rows = _pictures(spark, sf_dir).select("sample_id", "height", "width", "image")
+
+    def run(batches):
+        for batch in batches:
+            for i, h, w, d in zip(*(c.to_pylist() for c in batch.columns)):
+                write_file(f"{folder}/{i}.png", write_png(np.frombuffer(d, np.uint8).reshape(h, w, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["sample_id"])
+
+    rows.mapInArrow(run, "sample_id long").write.format("noop").mode("overwrite").save()
+    number = lambda c: F.regexp_extract(c, r"(\d+)\.png$", 1).cast("long").alias("sample_id")
+    read = images.read_images(spark, folder).select(number("image_path"), "height", "width", F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x * 255)).cast("long").alias("total"), F.round(F.col("pixels")[0] * 255).cast("int").alias("red"))
+    return catalogs.list_files(spark, folder).select(number("path")).join(read, "sample_id")
+
+
+def patch_tokens(spark, sf_dir):
+    """Images of 16 x 16 cut into overlapping tiles, embedded, and flattened to tokens: the first channel's mean of each."""
+    rows = _pictures(spark, sf_dir).where("height = 16 and width = 16").select(F.col("sample_id").cast("string").alias("image_path"), "height", "width", "pixels")
+    found = images.embed(rows, images.patch_means(4, [7]), [7], 12, 4, 4)
+    return found.select(F.col("image_path").cast("long").alias("sample_id"), "layer", "ty", "tx", F.round(F.col("embedding")[0].cast("double") * 255 * 16).cast("long").alias("red"))
+
+
+def bicubic_resize(spark, sf_dir):
+    """Images shrunk by a factor to whole pixels, bicubic with antialiasing."""
+    rows = _pictures(spark, sf_dir).select(F.col("sample_id").cast("string").alias("image_path"), "height", "width", "pixels")
+    out = images.preprocess(rows, 0.625)
+    each = out.select(F.col("image_path").cast("long").alias("sample_id"), "height", "width", F.posexplode("pixels").alias("place", "v"))
+    return each.groupBy("sample_id", "height", "width", F.floor(F.col("place") / (F.col("height") * F.col("width"))).cast("int").alias("channel")).agg(F.round(F.sum(F.col("v").cast("double") * (F.col("place") % 7 + 1)), 3).alias("total"))
+
+
+def batch_sizes(spark, sf_dir):
+    """Batches of at most 32 images, in an order by hash."""
+    rows = _samples(spark, sf_dir).where("image_path is not null")
+    sizes = images.batches(rows, 32, shuffle=True).groupBy("batch").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("n"), (F.max("n") <= 32).alias("bounded"))
+
+
+def map_files(spark, sf_dir):
+    """Maps written as half-precision TIFF and PNG by the executors and read again."""
+    folder = f"{shared_dir(spark)}/maps-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "embeddings").select(F.lit("can").alias("category"), F.lit("test_public").alias("split"), F.col("vec_id").cast("string").alias("stem"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("scores"), F.transform("embedding", lambda x: x > 0.1).alias("flags"))
+    predictions.export_maps(rows, folder)
+    found = predictions.read_maps(spark, folder).select(F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("vec_id"), "kind", "dtype", F.posexplode("values").alias("place", "v"))
+    return found.select("vec_id", "kind", "dtype", "place", F.col("v").cast("double").alias("value"))
+
+
+def scores_csv(spark, sf_dir):
+    """The score table as a CSV with its index, read again."""
+    path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}/scores.csv"
+    predictions.write_scores(score_table(spark, sf_dir), path)
+    return spark.read.csv(path, header=True, schema="place int, Category string, AU double, F1 double")
+
+
+def fit_transform(spark, sf_dir):
+    """A model of two layers (the halves of a vector) fitted on normal vectors, saved, loaded, and used on all others."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("category", F.concat(F.lit("c"), F.col("label") % 2))
+    halves = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("layer"), F.slice("embedding", 32 * i + 1, 32).alias("embedding")) for i in (0, 1)]))
+    tokens = rows.select("category", "label", F.col("vec_id").alias("image_id"), F.lit(0).alias("ty"), F.lit(0).alias("tx"), halves.alias("h")).select("category", "label", "h.layer", "image_id", "ty", "tx", "h.embedding")
+    sizes = rows.select(F.col("vec_id").alias("image_id"), F.lit(4).alias("height"), F.lit(4).alias("width"), F.when(F.col("vec_id") % 8 == 0, "threshold").otherwise("bank").alias("part"))
+    model = AnomalyModel.fit(tokens.where("label <= 6").drop("label"), sizes, Params(dim=32, subsets=2, thinning_neighbours=5))
+    folder = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.save(folder)
+    out = AnomalyModel.load(spark, folder).transform(tokens.where("label > 6 or image_id % 8 = 0").drop("label"), sizes)
+    return out.select("category", F.col("image_id").alias("vec_id"), F.round(F.col("scores")[0].cast("double"), 9).alias("score"), F.col("flags")[0].alias("flag"))
+
+
+def evaluate_maps(spark, sf_dir):
+    """Score table of maps against truth masks, of which every third is missing and so all good."""
+    rows = table(spark, sf_dir, "embeddings")
+    maps = rows.select(F.concat(F.lit("c"), F.col("label") % 4).alias("category"), F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("scores"), F.transform("embedding", lambda x: x > 0.1).alias("flags"))
+    truth = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: ((F.col("vec_id") * 7 + p * 13) % 10 < 2).cast("int"))
+    masks = rows.select(F.col("vec_id").alias("image_id"), F.when(F.col("vec_id") % 11 == 0, -1).otherwise(1).alias("label"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.when(F.col("vec_id") % 3 != 0, truth).alias("mask"))
+    out = evaluate(maps, masks)
+    return out.select("Category", F.round("AU", 9).alias("AU"), F.round("F1", 9).alias("F1"))
+
+
+def map_problems(spark, sf_dir):
+    """Masks whose map is missing or of another size."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("c"), F.col("label")).alias("category"), F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("scores"))
+    maps = rows.where("image_id % 5 <> 0").withColumn("height", F.when(F.col("image_id") % 7 == 0, 4).otherwise(8))
+    return find_map_problems(maps, rows)
+
+
 _QUERIES = [
     flagship, knn_top1_score, knn_topk_mean, knn_normalized, knn_self_join, layer_scores, anomaly_threshold, pixel_threshold, train_stride, holdout_split, scored_labels, catalog_build, prediction_paths, partial_auc, full_auc, best_f1,
     f1_fixed_threshold, mean_of_category_means, score_table, density_subsample, density_subsample_filled, tile_plan, tile_cut_stitch, bilinear_resize, layer_mean, dilation, line_closing, ellipse_erosion, fill_holes, clean_maps, brightness_clip,
+    half_scores, truth_resize, mask_decode, channel_means, image_files, patch_tokens, bicubic_resize, batch_sizes, map_files, scores_csv, fit_transform, evaluate_maps, map_problems,
     channel_normalize, l2_normalize, name_validation, index_coverage, prediction_violations, stream_scores,
 ]
 

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def _forget() -> None:
+def _forget(tables: list | None = None) -> None:
     """Deletes the tables that written() left: through their session while it lives, else those in a folder of this machine."""
-    while _written:
-        spark, path = _written.pop()
+    tables = _written if tables is None else tables
+    while tables:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,6 +54,50 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes, at its end, the tables that were written within. Their results must have been taken by then."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        later = _written[held:]
+        del _written[held:]
+        _forget(later)
+
+
+def _place(path: str):
+    """(file system, path in it) of a path or URI, so that files lie where the tables lie."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def write_file(path: str, data: bytes) -> None:
+    """A whole file, put in place at once, so a task that runs again leaves the same."""
+    system, at = _place(path)
+    system.create_dir(os.path.dirname(at), recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part) as f:
+        f.write(data)
+    system.move(part, at)
+
+
+def read_file(path: str) -> bytes:
+    system, at = _place(path)
+    with system.open_input_stream(at) as f:
+        return f.read()
+
+
+def is_folder(path: str) -> bool:
+    from pyarrow import fs
+
+    system, at = _place(path)
+    return system.get_file_info(at).type == fs.FileType.Directory
+
+
 def bounded_batches(spark: SparkSession, size: str = "32m") -> None:
     """Lets an Arrow batch of long texts or images end at a size as well as at a number of rows, unless the session says so already."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:

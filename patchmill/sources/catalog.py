@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchmill.functions.settings import BAD, CATEGORIES, GOOD, SAMPLE, SPLITS, UNKNOWN, known
+from patchmill.runtime import is_folder, written
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".png") -> DataFrame:
@@ -60,7 +61,7 @@ def read_catalog(spark: SparkSession, root: str, category: str, split: str) -> D
     """
     known(category, CATEGORIES, "category"), known(split, SPLITS, "split")
     base = os.path.join(root, category)
-    if not os.path.isdir(base):
+    if not is_folder(base):
         raise FileNotFoundError(base)
     below = {"train": ["good"], "validation": ["good"], "test_public": ["good", "bad", "ground_truth/bad"]}.get(split, [""])
     paths = None
@@ -74,8 +75,22 @@ def read_catalog(spark: SparkSession, root: str, category: str, split: str) -> D
 
 
 def with_position(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """samples with `position`, counted from 0 in each group."""
-    return samples.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    """samples with `position`, counted from 0 in each group.
+
+    The rows are sorted by ranges, written once, and numbered within each range; a range's first number in a group comes
+    from the counts of the ranges before it. So no task sorts a whole group. keys and order must tell rows apart.
+    """
+    by = [*keys, *order]
+    ranged = samples.repartitionByRange(*by).sortWithinPartitions(*by)
+    at = written(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    runs = at.groupBy(*keys, part.alias("_p")).agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    runs = runs.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), "_first", "_base")
+    found = at.withColumn("_p", part).join(runs, [*same, F.col("_p") == F.col("_q")])
+    return found.select(*samples.columns, (F.col("_at") - F.col("_first") + F.col("_base")).cast("int").alias("position"))
 
 
 def train_stride(samples: DataFrame, keys: list[str], order: list[str], fraction: int) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patchmill.functions.resize import binary_mask, resize, shrunk
 from patchmill.runtime import bounded_batches
@@ -41,12 +43,19 @@ def read_images(spark: SparkSession, folder: str | list[str], size: tuple[int, i
 
 def bytes_to_pixels(samples: DataFrame, image: str = "image", height: str = "height", width: str = "width") -> DataFrame:
     """samples with `pixels`: RGB bytes row by row as planar floats in [0, 1]; null where the length does not fit."""
-    n = F.col(height) * F.col(width)
-    good = F.octet_length(image) == 3 * n
-    hexed = F.hex(image)
-    value = lambda at: F.conv(F.substring(hexed, (2 * at + 1).cast("int"), F.lit(2)), 16, 10).cast("float") / 255
-    planar = F.transform(F.sequence(F.lit(0), (3 * n - 1).cast("int")), lambda i: value(3 * (i % n) + F.floor(i / n)))
-    return samples.withColumn("pixels", F.when(good & (n > 0), planar))
+    bounded_batches(samples.sparkSession)
+    out = T.StructType([*samples.schema.fields, T.StructField("pixels", T.ArrayType(T.FloatType()))])
+    at = [samples.columns.index(c) for c in (image, height, width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for d, h, w in zip(*(batch.column(i).to_pylist() for i in at)):
+                good = d is not None and h is not None and w is not None and h > 0 and w > 0 and len(d) == 3 * h * w
+                found.append((np.frombuffer(d, np.uint8).reshape(h * w, 3).T.ravel() / 255.0).astype(np.float32) if good else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=out.names)
+
+    return samples.mapInArrow(run, out)
 
 
 def preprocess(images: DataFrame, factor: float) -> DataFrame:

@@ -12,8 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchmill.runtime import write_file
 from patchmill.sources.codecs import read_png, read_tiff, write_png, write_tiff
 
+MOST_SCORES = 10_000
+
 # Fixed layouts of a public test map, in the order in which they are tried.
 LAYOUTS = [
     "anomaly_images/{category}/test_public/bad/{stem}.tiff",
@@ -67,24 +70,22 @@ def export_maps(maps: DataFrame, results: str) -> int:
             for r in pdf.itertuples():
                 shape = (r.height, r.width)
                 for kind, data in (("score", write_tiff(np.asarray(r.scores, float).reshape(shape).astype(np.float16))), ("binary", write_png(np.asarray(r.flags, bool).reshape(shape).astype(np.uint8) * 255))):
-                    path = map_path(results, kind, r.category, r.split, r.stem)
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
-                    with open(f"{path}.{os.getpid()}.part", "wb") as f:
-                        f.write(data)
-                    os.replace(f.name, path)
+                    write_file(map_path(results, kind, r.category, r.split, r.stem), data)
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return maps.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_scores(table: DataFrame, path: str) -> None:
-    """The score table (a row for each category and the mean) as a CSV with a leading unnamed index."""
-    pdf = table.limit(10_000).toPandas()  # a row for each category
+    """The score table (a row for each category and the mean) as a CSV with a leading unnamed index; more than MOST_SCORES
+    rows are an error."""
+    pdf = table.limit(MOST_SCORES + 1).toPandas()
+    if len(pdf) > MOST_SCORES:
+        raise ValueError(f"more than {MOST_SCORES} rows of scores")
     mean = pdf["Category"] == "mean"
     pdf = pd.concat([pdf[~mean].sort_values("Category"), pdf[mean]], ignore_index=True)
     if len(pdf):
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        pdf.to_csv(path)
+        write_file(path, pdf.to_csv().encode())
 
 
 def summary(scores: dict[str, float], mean: float, what: str = "SegF1") -> str:
