@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
         w AS (SELECT n, o, low AS i, 1 - f AS w FROM b UNION ALL SELECT n, o, least(low + 1, 7), f FROM b)
         SELECT vec_id, wy.o::INT AS y, wx.o::INT AS x, round(sum(score * wy.w * wx.w), 7) AS score FROM m JOIN w wy ON wy.n = 16 AND wy.i = y JOIN w wx ON wx.n = 12 AND wx.i = x GROUP BY ALL""",
     "layer_mean": f"""
-        WITH {_MAPS}, {_LINEAR.format(sizes="(4, 6), (8, 10)")},
+        WITH {_MAPS}, {_LINEAR.format(sizes="(4, 8), (8, 16)")},
         r AS (SELECT vec_id, y // 4 AS layer, wy.o AS y, wx.o AS x, sum(score * wy.w * wx.w) AS score FROM m JOIN lw wy ON wy.n = 4 AND wy.i = y % 4 JOIN lw wx ON wx.n = 8 AND wx.i = x GROUP BY ALL)
         SELECT vec_id, y::INT AS y, x::INT AS x, round(avg(score)::FLOAT::DOUBLE, 7) + 0 AS score FROM r GROUP BY ALL""",
     "half_scores": f"WITH {_MAPS} SELECT vec_id, (y * 8 + x)::INT AS place, {_HALF.format(x='score')} AS value FROM m",

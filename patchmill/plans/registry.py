@@ -205,9 +205,9 @@ def bilinear_resize(spark, sf_dir):
 
 
 def layer_mean(spark, sf_dir):
-    """Token grids of two layers (the halves of a vector) brought to 6 x 10 and averaged."""
+    """Token grids of two layers (the halves of a vector) brought to 8 x 16 and averaged."""
     tokens = _maps(spark, sf_dir).select(F.lit("c").alias("category"), F.floor(F.col("y") / 4).cast("int").alias("layer"), F.col("vec_id").alias("image_id"), (F.col("y") % 4).alias("ty"), F.col("x").alias("tx"), "score")
-    sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(24).alias("height"), F.lit(40).alias("width"))
+    sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(32).alias("height"), F.lit(64).alias("width"))
     return pixels(score_maps(tokens, sizes, 4)).select(F.col("image_id").alias("vec_id"), "y", "x", (F.round(F.col("score").cast("double"), 7) + F.lit(0.0)).alias("score"))
 
 
