@@ -76,7 +76,8 @@ class Index:
         h = sample.shape[1] // 2
         self.half, self.n, self.asked = h, n, asked
         self.k = k = int(min(256, len(sample), max(1, 2 ** round(np.log2(max(1.0, n / 8)) / 2))))
-        self.books = [kmeans(sample[:, :h], k, seed), kmeans(sample[:, h:], k, seed + 1)]
+        fit = sample[PROBES:] if len(sample) > 8 * PROBES else sample  # probes that fitted the codebooks would do better than others
+        self.books = [kmeans(fit[:, :h], k, seed), kmeans(fit[:, h:], k, seed + 1)]
         for i, c in enumerate(self.books):  # near centroids get near numbers
             if len(c) > 1:
                 axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0]
