@@ -69,3 +69,18 @@ def test_the_core_stands_without_the_training_data_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=here, check=True, timeout=120)
     found = subprocess.run(["grep", "-rlE", "patchmill.llm|from patchmill import llm", "patchmill", "--include=*.py", "--exclude-dir=llm"], cwd=here, capture_output=True, text=True).stdout
     assert found == ""
+
+
+def test_tables_are_released_where_asked(spark):
+    kept = written(spark.range(3))
+    with runtime.released():
+        gone = written(spark.range(5))
+        path = runtime._written[-1][1]
+        assert gone.count() == 5
+    assert not os.path.exists(path) and kept.count() == 3
+
+
+def test_best_f1_of_images_is_one_shuffle_of_counts(spark):
+    rows = table(spark, SF, "events").selectExpr("user_id", "value", "event_type = 'error' as truth")
+    p = plan(metrics.best_f1(rows, ["user_id"], "value", "truth", bounded=True))
+    assert p.count("Scan parquet") == 1 and "Join" not in p

@@ -5,6 +5,7 @@ import tarfile
 import numpy as np
 import pytest
 
+from patchmill import runtime
 from patchmill.functions.settings import Settings
 from patchmill.operators import validation
 from patchmill.sources import catalog, images, predictions
@@ -192,3 +193,39 @@ def test_settings(tmp_path):
         f.write('{"colour": 1}')
     with pytest.raises(ValueError):
         Settings.read(str(tmp_path / "e.json"))
+
+
+def test_positions_by_ranges(spark):
+    rows = [(["a", "b", None][i % 3], (i * 37) % 500, i) for i in range(500)] + [("c", 1, -1)]
+    df = spark.createDataFrame(rows, "g string, o int, id int").repartition(5)
+    got = {(r.g, r.o, r.id): r.position for r in catalog.with_position(df, ["g"], ["o", "id"]).collect()}
+    want = {}
+    for g in ("a", "b", None, "c"):
+        for p, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])):
+            want[r] = p
+    assert got == want
+    assert catalog.with_position(df.limit(0), ["g"], ["o", "id"]).count() == 0
+
+
+def test_raw_bytes_to_pixels(spark):
+    rows = [(1, 1, 2, bytes([0, 51, 102, 255, 204, 153])), (2, 1, 2, b"abc"), (3, 1, None, b"abc"), (4, 0, 0, b""), (5, 1, 1, None)]
+    df = spark.createDataFrame(rows, "sample_id int, height int, width int, image binary")
+    got = {r.sample_id: r.pixels for r in images.bytes_to_pixels(df).collect()}
+    assert np.allclose(got.pop(1), [0, 1, 0.2, 0.8, 0.4, 0.6]) and got == {2: None, 3: None, 4: None, 5: None}
+
+
+def test_too_many_scores_are_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(predictions, "MOST_SCORES", 3)
+    table = spark.createDataFrame([(f"c{i}", 0.5, 0.5) for i in range(4)], "Category string, AU double, F1 double")
+    with pytest.raises(ValueError):
+        predictions.write_scores(table, f"{tmp_path}/s.csv")
+    predictions.write_scores(table.limit(3), f"file://{tmp_path}/x/s.csv")
+    assert open(f"{tmp_path}/x/s.csv").readline() == ",Category,AU,F1\n"
+
+
+def test_whole_files_by_path_and_uri(tmp_path):
+    for path in (f"{tmp_path}/a/b.bin", f"file://{tmp_path}/c/d.bin", f"file:{tmp_path}/e.bin"):
+        runtime.write_file(path, b"one")
+        runtime.write_file(path, b"two")
+        assert runtime.read_file(path) == b"two" and not runtime.is_folder(path) and runtime.is_folder(path.rpartition("/")[0])
+    assert sorted(os.listdir(f"{tmp_path}/a")) == ["b.bin"] and not runtime.is_folder(f"{tmp_path}/none")
