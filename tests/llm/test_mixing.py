@@ -95,3 +95,8 @@ def test_public_tokenizer_round_trip():
     texts = ["def f(x):\n    return x\r\n", "<|endoftext|>", "é漢", "a" * 3000]
     ids = t(texts)
     assert [mixing._loaded[t.key].decode(i) for i in ids] == texts
+
+
+def test_slots_and_blocks_are_joined_by_a_shuffle(spark):
+    p = mix(spark, corpus(), TARGETS, block=64, shard=50).mixed()._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in p
