@@ -6,8 +6,8 @@ Of n scores the cutoff is the r-th highest, r = ceil(share * n). It minimises th
 
 Each round is one aggregation over the scores: per source and trial cutoff the counts and sums on its lower side and the
 nearest scores on either side, combined before the shuffle. The two lines that touch the loss at the ends of the
-bracket meet at the next trial cutoff. That point alone can creep where scores are heavy-tailed, so the bracket's middle
-is tried beside it, on the line of doubles' ranks: at most 64 halvings separate any two doubles. Trial points snap to
+bracket meet at the next trial cutoff. That point alone can creep where scores are heavy-tailed, so seven points that cut
+the bracket evenly on the line of doubles' ranks are tried beside it: some 22 rounds separate any two doubles. Trial points snap to
 scores that occur, and a source is done when no score lies between the best kept cutoff and the lowest too high one. The
 last SNAP scores of a bracket are ranked at once instead of being separated round by round.
 
@@ -69,7 +69,8 @@ class _Source:
 
     def trials(self) -> list[float]:
         lo, hi = self.lo, self.best_below_hi  # the answer lies in this closed range
-        out = {hi, _double((_rank(lo) + _rank(hi) + 1) // 2)}
+        a, b = _rank(lo), _rank(hi)
+        out = {hi, *(_double(a + -(-(b - a) * i // 8)) for i in range(1, 8))}
         f0, s0 = self._loss(lo, self.lo_below, self.lo_sum)
         f1, s1 = self._loss(hi if self.hi is None else self.hi, self.hi_below, self.hi_sum)
         end = hi if self.hi is None else self.hi
