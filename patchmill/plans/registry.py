@@ -148,7 +148,7 @@ def full_auc(spark, sf_dir):
 
 
 def best_f1(spark, sf_dir):
-    return metrics.best_f1(_events(spark, sf_dir), ["category", "image"], "score", "truth").withColumn("best_f1", F.round("best_f1", 9))
+    return metrics.best_f1(_events(spark, sf_dir), ["category", "image"], "score", "truth", bounded=True).withColumn("best_f1", F.round("best_f1", 9))
 
 
 def f1_fixed_threshold(spark, sf_dir):
@@ -156,7 +156,7 @@ def f1_fixed_threshold(spark, sf_dir):
 
 
 def mean_of_category_means(spark, sf_dir):
-    each = metrics.best_f1(_events(spark, sf_dir), ["category", "image"], "score", "truth")
+    each = metrics.best_f1(_events(spark, sf_dir), ["category", "image"], "score", "truth", bounded=True)
     return metrics.mean_of_means(each, "category", "best_f1").withColumn("best_f1", F.round("best_f1", 9))
 
 
