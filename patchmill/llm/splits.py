@@ -13,9 +13,9 @@ cut into bands, and only pairs with one side in training and the other in anothe
 Candidates are judged by the pictures' correlation alone, best over misplacements of a pixel, without the worst-fitting
 fifth of the pixels (a mark).
 
-Pictures of one layout, as a fixed camera takes them, may share bands without being equal. A band that would name more
-than HOT pairs is not joined: its pictures are banded anew with twice as many hashes to a band, which unlike pictures share
-far less often, and so again up to LEVELS times. What the last level still has in common is joined block by block.
+Pictures of one layout, as a fixed camera takes them, may share bands without being equal. The pictures of a band that names
+more than HOT pairs meet block by block and are judged there, so its pairs are never written; a pair of several such bands
+is judged in the first. Which pairs are judged, and how, does not depend on HOT.
 
 Equal grey pictures form one class. The bands of a class are joined once, however many records have the picture, and
 the report per split needs no pairs of records at all.
@@ -38,8 +38,10 @@ BANDS, ROWS = 56, 3
 STRIP, STRIP_WINDOW = 6, (5, 9)
 EDGE_BANDS, INNER_BANDS = 6, 8
 LEAST_CORRELATION, PLAIN = 0.95, 0.3
-#: Pairs of a band beyond which stricter bands are asked; how often; and pictures on a side of a block after that.
-HOT, LEVELS, BLOCK = 1 << 20, 3, 512
+#: Pairs of a band beyond which its pictures meet in blocks; and pictures on a side of a block.
+HOT, BLOCK = 1 << 20, 512
+#: Without effect: there are no stricter bands any more. A test still sets it.
+LEVELS = 3
 TRAIN = "train"
 
 
@@ -109,20 +111,20 @@ def shingles(pictures: np.ndarray, window: tuple[int, int] = (WINDOW, WINDOW)) -
 
 
 class MinHash:
-    """count * rows random orders of all shingles."""
+    """count * ROWS random orders of all shingles."""
 
-    def __init__(self, count: int = BANDS, seed: int = 11, rows: int = ROWS):
+    def __init__(self, count: int = BANDS, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.count, self.rows = count, rows
-        self.table = rng.permuted(np.tile(np.arange(1 << BITS, dtype=np.uint16), (count * rows, 1)), axis=1)
+        self.count = count
+        self.table = rng.permuted(np.tile(np.arange(1 << BITS, dtype=np.uint16), (count * ROWS, 1)), axis=1)
 
     def bands(self, codes: np.ndarray, first: int = 0) -> np.ndarray:
         """(n, count) a number for each band, the band's own number, from first on, in the upper half."""
         out = np.empty((len(codes), self.count), np.int64)
         for at in range(0, len(codes), 64):
-            least = self.table[:, codes[at : at + 64]].min(2).astype(np.uint64).reshape(self.count, self.rows, -1)
+            least = self.table[:, codes[at : at + 64]].min(2).astype(np.uint64).reshape(self.count, ROWS, -1)
             h = np.zeros((self.count, least.shape[2]), np.uint64)
-            for r in range(self.rows):
+            for r in range(ROWS):
                 h = (h ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             out[at : at + 64] = ((h >> np.uint64(32)).astype(np.int64) + (first + np.arange(self.count, dtype=np.int64) << 32)[:, None]).T
@@ -130,11 +132,10 @@ class MinHash:
 
 
 class Bands:
-    """The bands on which pictures of training and of evaluation are joined; a higher level has longer and more of them."""
+    """The bands on which pictures of training and of evaluation are joined."""
 
-    def __init__(self, level: int = 0):
-        times, rows = (1 if not level else 2), ROWS << level
-        self.whole, self.edge, self.inner = MinHash(times * BANDS, 11, rows), MinHash(times * EDGE_BANDS, 12, rows), MinHash(times * INNER_BANDS, 13, rows)
+    def __init__(self):
+        self.whole, self.edge, self.inner = MinHash(BANDS, 11), MinHash(EDGE_BANDS, 12), MinHash(INNER_BANDS, 13)
 
     def of(self, pictures: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
         """(picture, band) of grey pictures. A strip of one value has no shingles, as all such strips are equal."""
@@ -185,6 +186,22 @@ def _trimmed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (xy / np.sqrt(np.maximum(xx * yy, 1e-6))).ravel()
 
 
+def _centred(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(y, y of mean 0 and length 1) of the inner parts of pictures."""
+    y = b[:, 1:-1, 1:-1].reshape(len(b), -1).astype(np.float32)
+    cy = y - y.mean(1, keepdims=True)
+    return y, cy / np.maximum(np.sqrt((cy * cy).sum(1, keepdims=True)), 1e-3)
+
+
+def _misplaced(a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, its length without the mean) of the parts of pictures at each misplacement of a pixel."""
+    inner = SIDE - 2
+    for dy in range(3):
+        for dx in range(3):
+            x = a[:, dy : dy + inner, dx : dx + inner].reshape(len(a), -1).astype(np.float32)
+            yield x, np.sqrt(np.maximum((x * x).sum(1) - x.sum(1) ** 2 / x.shape[1], 1e-6))
+
+
 def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Best correlation of each pair of pictures over misplacements of a pixel, without the worst-fitting fifth.
 
@@ -192,20 +209,33 @@ def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     ten pictures to hide an equal one like that. A pair without any other counts as -1.
     """
     best = np.full(len(a), -1.0)
-    inner = SIDE - 2
-    y = b[:, 1:-1, 1:-1].reshape(len(b), -1).astype(np.float32)
-    cy = y - y.mean(1, keepdims=True)
-    cy /= np.maximum(np.sqrt((cy * cy).sum(1, keepdims=True)), 1e-3)
-    for dy in range(3):
-        for dx in range(3):
-            x = a[:, dy : dy + inner, dx : dx + inner].reshape(len(a), -1).astype(np.float32)
-            length = np.sqrt(np.maximum((x * x).sum(1) - x.sum(1) ** 2 / x.shape[1], 1e-6))
-            some = np.flatnonzero(np.einsum("ij,ij->i", x, cy) >= PLAIN * length)  # cy has mean 0
-            if len(some):
-                best[some] = np.maximum(best[some], _trimmed(x[some], y[some]))
+    y, cy = _centred(b)
+    for x, length in _misplaced(a):
+        some = np.flatnonzero(np.einsum("ij,ij->i", x, cy) >= PLAIN * length)  # cy has mean 0
+        if len(some):
+            best[some] = np.maximum(best[some], _trimmed(x[some], y[some]))
     return best
 
 
+def _may_correlate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(len(a), len(b)) whether correlation() may be other than -1, a little generous as sums round differently here."""
+    cy = _centred(b)[1].T
+    out = np.zeros((len(a), len(b)), bool)
+    for x, length in _misplaced(a):
+        out |= x @ cy >= (PLAIN - 1e-3) * length[:, None]
+    return out
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, their jaccard) of the pairs of pictures that are the same."""
+    keep = np.flatnonzero(correlation(a, b) >= LEAST_CORRELATION)
+    return keep, jaccard(shingles(a[keep]), shingles(b[keep])) if len(keep) else np.zeros(0)
+
+
+def _greys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIDE, SIDE)
+
+
 def _sketches(samples: DataFrame, sample_id: str, split: str, image_path: str, image: str, height: str, width: str) -> DataFrame:
     """(id, split, path, grey) of each row with id and split; grey is null without a usable image."""
     rows = samples.select(F.col(sample_id).cast("long").alias("id"), F.lower(F.trim(split)).alias("split"), F.col(image_path).alias("path"), F.col(image).alias("image"), F.col(height).cast("int").alias("h"), F.col(width).cast("int").alias("w")).where("id is not null and split is not null")
@@ -232,47 +262,86 @@ def _sketches(samples: DataFrame, sample_id: str, split: str, image_path: str, i
     return rows.mapInArrow(run, "id long, split string, path string, grey binary")
 
 
-def _banded(pictures: DataFrame, level: int = 0) -> DataFrame:
+def _banded(pictures: DataFrame) -> DataFrame:
     """(n, side, band) of pictures (n, t, e, grey); side 1 is training, 0 evaluation, and a picture may stand on both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(level)
+        bands = Bands()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 for side in (0, 1):
                     some = part.filter(part.column(2 - side))
                     if some.num_rows:
-                        who, band = bands.of(np.frombuffer(b"".join(some.column(3).to_pylist()), np.uint8).reshape(-1, SIDE, SIDE), side == 1)
+                        who, band = bands.of(_greys(some.column(3)), side == 1)
                         yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(who)), pa.array(np.full(len(who), side, np.int8)), pa.array(band)], names=["n", "side", "band"])
 
     return pictures.select("n", "t", "e", "grey").mapInArrow(run, "n long, side byte, band long")
 
 
-def _near(pictures: DataFrame) -> DataFrame:
-    """(t, e): pictures of training and of evaluation with a common band that is not hot, not all distinct."""
-    found = None
-    for level in range(LEVELS):
-        of = Window.partitionBy("band")
-        sides = [F.count_if(F.col("side") == side).over(of).alias(name) for name, side in (("nt", 1), ("ne", 0))]
-        # bands of one side only end here, before any join
-        met = written(_banded(pictures, level).select("*", *sides).where("nt > 0 and ne > 0"))
-        hot = F.col("nt") * F.col("ne") > HOT
-        last = level == LEVELS - 1
-        cold = met if last else met.where(~hot)
-        t, e = (cold.where(F.col("side") == side).select("band", F.col("n").alias(name), "nt", "ne") for name, side in (("t", 1), ("e", 0)))
-        on = ["band"]
-        if last:  # blocks of pictures of either side
-            mt, me = (F.when(hot, F.ceil(F.col(c) / BLOCK)).otherwise(1).cast("int") for c in ("nt", "ne"))
-            t = t.withColumn("i", F.pmod(F.xxhash64("t"), mt).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), me - 1)))
-            e = e.withColumn("j", F.pmod(F.xxhash64("e"), me).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), mt - 1)))
-            on = ["band", "i", "j"]
-        pairs = t.drop("nt", "ne").join(e.drop("nt", "ne"), on).where("t <> e").select("t", "e")
-        found = pairs if found is None else found.unionByName(pairs)
-        if last or (crowd := met.where(hot)).isEmpty():
-            return found
-        pictures = pictures.join(crowd.select("n").distinct(), "n", "left_semi")
-    return found
+def _joined(met: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(t, e, jaccard) of the same pictures among those with a common band."""
+    t, e = (met.where(F.col("side") == side).select("band", F.col("n").alias(name)) for name, side in (("t", 1), ("e", 0)))
+    near = t.join(e, "band").where("t <> e").select("t", "e").distinct()
+    grey_of = pictures.select("n", "pic", "grey")
+    both = near.join(grey_of.toDF("t", "pt", "gt"), "t").join(grey_of.toDF("e", "pe", "ge"), "e").select("pt", "pe", "gt", "ge")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keep, j = _same(_greys(part.column(2)), _greys(part.column(3)))
+                take = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(j)], names=["t", "e", "jaccard"])
+
+    return both.mapInArrow(run, "t long, e long, jaccard double")
+
+
+def _share(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """(len(a), len(b)) whether lists of numbers have one in common."""
+    sides = []
+    for lists in (a.combine_chunks(), b.combine_chunks()):
+        sides.append((lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(common), 4096):
+        part = common[at : at + 4096]
+        has = []
+        for (numbers, who), n in zip(sides, out.shape):
+            i = np.minimum(np.searchsorted(part, numbers), len(part) - 1)
+            some = part[i] == numbers
+            m = np.zeros((n, len(part)), np.float32)
+            m[who[some], i[some]] = 1
+            has.append(m)
+        out |= has[0] @ has[1].T > 0
+    return out
+
+
+def _in_blocks(met: DataFrame, pictures: DataFrame) -> DataFrame:
+    """As _joined, of bands with many pictures: in blocks of BLOCK pictures of either side. Only what is the same leaves them."""
+    mt, me = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("nt", "ne"))
+    bands = met.groupBy("n", "side").agg(F.sort_array(F.collect_set(F.struct("band", mt.alias("mt"), me.alias("me")))).alias("bands"))
+    each = bands.join(pictures.select("n", "pic", "grey"), "n").select("side", "pic", "grey", F.col("bands.band").alias("all"), F.posexplode("bands").alias("at", "b"))
+    # lower: the bands of the picture before this one, in which pairs that share one were judged
+    each = each.select("side", "pic", "grey", F.slice("all", F.lit(1), F.col("at")).alias("lower"), "b.*")
+    t, e = (each.where(F.col("side") == side) for side in (1, 0))
+    t = t.withColumn("i", F.pmod(F.xxhash64("pic"), "mt").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("me") - 1)))
+    e = e.withColumn("j", F.pmod(F.xxhash64("pic"), "me").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mt") - 1)))
+    names = ["band", "i", "j", "pic", "grey", "lower"]
+    t, e = (side.select(names).toDF(*names).groupBy("band", "i", "j") for side in (t, e))  # renamed, or Spark takes the two for one
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0)]]
+        if left.num_rows and right.num_rows:
+            (x, a), (y, b) = ((side.column("pic").to_numpy(), _greys(side.column("grey"))) for side in (left, right))
+            i, j = np.nonzero(_may_correlate(a, b) & ~_share(left.column("lower"), right.column("lower")) & (x[:, None] != y))
+            for at in range(0, len(i), 512):
+                p, q = i[at : at + 512], j[at : at + 512]
+                keep, similar = _same(a[p], b[q])
+                out.append([x[p[keep]], y[q[keep]], similar])
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["t", "e", "jaccard"])
+
+    return t.cogroup(e).applyInArrow(run, "t long, e long, jaccard double")
 
 
 class Overlaps:
@@ -294,22 +363,16 @@ class Overlaps:
         seen = self.at.where("grey is not null").select(F.xxhash64("grey").alias("pic"), "train", "grey")
         pics = seen.groupBy("pic").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e"), F.any_value("grey").alias("grey"))
         pics = written(pics.withColumn("n", F.monotonically_increasing_id()))  # a number packs better than a hash in the many rows of bands
-        near = _near(pics).distinct()
-        grey_of = pics.select("n", "pic", "grey")
-        both = near.join(grey_of.toDF("t", "pt", "gt"), "t").join(grey_of.toDF("e", "pe", "ge"), "e").select("pt", "pe", "gt", "ge")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, SIDE, SIDE) for i in (2, 3))
-                    keep = np.flatnonzero(correlation(a, b) >= LEAST_CORRELATION)
-                    take = pa.array(keep)
-                    j = jaccard(shingles(a[keep]), shingles(b[keep])) if len(keep) else np.zeros(0)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(j)], names=["t", "e", "jaccard"])
-
+        of = Window.partitionBy("band")
+        sides = [F.count_if(F.col("side") == side).over(of).alias(name) for name, side in (("nt", 1), ("ne", 0))]
+        # bands of one side only end here, before any join
+        met = written(_banded(pics).select("*", *sides).where("nt > 0 and ne > 0"))
+        hot = F.col("nt") * F.col("ne") > HOT
+        found = _joined(met.where(~hot), pics)
+        if not (crowd := met.where(hot)).isEmpty():
+            found = found.unionByName(_in_blocks(crowd, pics)).dropDuplicates(["t", "e"])
         equal = pics.where("t and e").select(F.col("pic").alias("t"), F.col("pic").alias("e"), F.lit(1.0).alias("jaccard"))
-        return both.mapInArrow(run, "t long, e long, jaccard double").unionByName(equal)
+        return found.unionByName(equal)
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), smaller first: overlapping records, one of training and one of another split."""

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from patchmill.llm import splits
@@ -189,3 +190,36 @@ def test_channels_that_cancel(spark):
     y = np.stack([q, 250 - q, np.full_like(q, 99)], axis=2)
     rows = [row(1, "train", as_bytes(x)), row(2, "validation", as_bytes(x)), row(3, "validation", as_bytes(y))]
     assert pairs(spark, rows) == {(1, 2)}
+
+
+def crowded():
+    """Pictures of one layout, each training one beside a validation one with a mark, which leaves few shingles whole."""
+    layout = picture(77)
+    rows, want = [], set()
+    for i in range(60):
+        p, y, x = inner(0.5 * layout + 0.5 * picture(1000 + i)), 3 + i % 8, 3 + i // 8
+        rows += [row(2 * i, "train", as_bytes(p)), row(2 * i + 1, "validation", as_bytes(marked(p, y, x, 250 if p[y, x].mean() < 125 else 4)))]
+        want.add((2 * i, 2 * i + 1))
+    return rows, want
+
+
+@pytest.mark.parametrize("hot, block", [(0, 8), (0, 512), (40, 8)])
+def test_pairs_do_not_depend_on_what_is_hot(spark, monkeypatch, hot, block):
+    rows, want = crowded()
+    cold = pairs(spark, rows)
+    assert len(want & cold) >= 0.95 * len(want)
+    monkeypatch.setattr(splits, "HOT", hot)
+    monkeypatch.setattr(splits, "BLOCK", block)
+    assert pairs(spark, rows) == cold
+
+
+def test_pairs_left_out_of_a_block():
+    lists = lambda x: pa.chunked_array([pa.array(x, pa.list_(pa.int64()))])
+    got = splits._share(lists([[], [5], [7, 9]]), lists([[9, 11], [], [5, 7], [4]]))
+    assert got.tolist() == [[False] * 4, [False, False, True, False], [True, False, True, False]]
+    many = [[int(x) for x in np.arange(3000) * 3 + i] for i in range(3)]  # beyond one part of common numbers
+    assert splits._share(lists(many), lists(many + [[8999, 10**6]])).tolist() == [[i == j or (i, j) == (2, 3) for j in range(4)] for i in range(3)]
+    rows, _ = crowded()
+    grey = splits.grey(np.stack([np.frombuffer(r[6], np.uint8).reshape(16, 16, 3) for r in rows]))[0]
+    i, j = np.nonzero(~splits._may_correlate(grey, grey[::-1]))
+    assert (splits.correlation(grey[i], grey[::-1][j]) == -1).all()
